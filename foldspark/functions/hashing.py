@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = 1 << 32
+MASK = WORD - 1
 # Multiplier of the integer mix and the seed stride.
 MIX = 73244475
 STRIDE = 2654435
@@ -31,7 +32,7 @@ def _fold(x: Column) -> Column:
 
 
 def _turn(x: Column) -> Column:
-    return (_fold(x) * F.lit(MIX)) % F.lit(WORD)
+    return (_fold(x) * F.lit(MIX)).bitwiseAND(F.lit(MASK))
 
 
 def mix_int(x: int) -> int:
@@ -44,19 +45,19 @@ def mix_int(x: int) -> int:
 def with_u32(df: DataFrame, seeds: Mapping[str, int | Column], row_id: str = "row_id") -> DataFrame:
     """Add one uniform integer in [0, 2^32) per name, keyed by its seed and the row id."""
     keep = df.columns
-    rid = F.col(row_id).cast("long")
-    base = (rid % F.lit(WORD)).bitwiseXOR((F.shiftright(rid, 32) * F.lit(STRIDE)) % F.lit(WORD))
+    # never NULL, so joins and filters on a hash push no null test of the whole expression into the scan
+    rid = F.coalesce(F.col(row_id).cast("long"), F.lit(0).cast("long"))
+    high = (F.shiftright(rid, 32) * F.lit(STRIDE)).bitwiseAND(F.lit(MASK))
     keyed = {n: s for n, s in seeds.items() if isinstance(s, Column)}
-    start = {f"_k_{n}": (s.cast("long") * F.lit(STRIDE) + F.lit(1)) % F.lit(WORD) for n, s in keyed.items()}
-    out = df.select("*", base.alias("_m"), *[c.alias(n) for n, c in start.items()])
-    out = out.select(*keep, _turn(_turn(F.col("_m"))).alias("_m"), *[
-        _turn(_turn(F.col(n))).alias(n) for n in start])
+    first = [(s.cast("long") * F.lit(STRIDE) + F.lit(1)).bitwiseAND(F.lit(MASK)) for s in keyed.values()]
+    out = df.select(*keep, _turn(rid.bitwiseAND(F.lit(MASK))).alias("_m"), high.alias("_h"), *[
+        _turn(_turn(F.coalesce(c, F.lit(0).cast("long")))).alias(f"_k_{n}") for n, c in zip(keyed, first)])
 
     def key(n: str, s) -> Column:
         return _fold(F.col(f"_k_{n}")) if n in keyed else F.lit(mix_int((s * STRIDE + 1) % WORD))
 
     out = out.select(*keep, *[
-        _turn(_fold(F.col("_m")).bitwiseXOR(key(n, s))).alias(f"_d_{n}") for n, s in seeds.items()])
+        _turn(F.col("_m").bitwiseXOR(F.col("_h")).bitwiseXOR(key(n, s))).alias(f"_d_{n}") for n, s in seeds.items()])
     return out.select(*keep, *[_fold(_turn(F.col(f"_d_{n}"))).alias(n) for n in seeds])
 
 

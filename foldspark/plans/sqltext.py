@@ -5,10 +5,12 @@ from __future__ import annotations
 from ..functions.hashing import MIX, POISSON_CUTS, STRIDE, WORD, mix_int
 
 
-def _mix(x: str) -> str:
-    once = f"((xor({x}, ({x}) >> 16) * {MIX}) % {WORD})"
-    twice = f"((xor({once}, {once} >> 16) * {MIX}) % {WORD})"
-    return f"xor({twice}, {twice} >> 16)"
+def _fold(x: str) -> str:
+    return f"xor({x}, ({x}) >> 16)"
+
+
+def _turn(x: str) -> str:
+    return f"(({_fold(x)} * {MIX}) % {WORD})"
 
 
 def u32(seed, row_id: str) -> str:
@@ -16,8 +18,8 @@ def u32(seed, row_id: str) -> str:
     if isinstance(seed, int):
         key = f"CAST({mix_int((seed * STRIDE + 1) % WORD)} AS BIGINT)"
     else:
-        key = _mix(f"((CAST({seed} AS BIGINT) * {STRIDE} + 1) % {WORD})")
-    return _mix(f"xor({_mix(f'(({row_id}) % {WORD})')}, {key})")
+        key = _fold(_turn(_turn(f"((CAST({seed} AS BIGINT) * {STRIDE} + 1) % {WORD})")))
+    return _fold(_turn(_turn(f"xor({_turn(row_id)}, {key})")))
 
 
 def u63(seed: str, row_id: str) -> str:
