@@ -26,7 +26,9 @@ def symexp(x) -> Column:
 
 
 def clip(x, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(_c(x), F.lit(float(lo))), F.lit(float(hi)))
+    x = _c(x)
+    # least and greatest skip NULL, so a missing value needs its own branch
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
 
 
 def sigmoid(x) -> Column:
@@ -119,48 +121,3 @@ def valid_name(name, allow_slash: bool = False, allow_single_star: bool = False)
     if not allow_single_star:
         bad = bad | name.contains("*")
     return ~bad
-
-
-# Rational approximation of the inverse normal distribution
-# function (Acklam), relative error 1.15e-9 before the refinement step.
-_A = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-      1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-_B = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-      6.680131188771972e+01, -1.328068155288572e+01]
-_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-      -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-      3.754408661907416e+00]
-# Fixed value: the tail probability both ends are clipped to.
-NORMAL_TAIL = 1e-7
-
-
-def _poly(coefs, x: Column) -> Column:
-    out = F.lit(coefs[0])
-    for c in coefs[1:]:
-        out = out * x + F.lit(c)
-    return out
-
-
-def normal_ppf(p) -> Column:
-    """Inverse normal distribution function of a probability, clipped at both tails."""
-    p = clip(p, NORMAL_TAIL, 1 - NORMAL_TAIL)
-    q, low = p - 0.5, 0.02425
-    r = q * q
-    centre = _poly(_A, r) * q / (_poly(_B, r) * r + 1.0)
-    tail_p = F.least(p, 1.0 - p)
-    s = F.sqrt(-2.0 * F.log(tail_p))
-    tail = _poly(_C, s) / (_poly(_D, s) * s + 1.0)
-    return (F.when(p < low, tail).when(p > 1 - low, -tail).otherwise(centre))
-
-
-def normal_cdf(x) -> Column:
-    """Normal distribution function from the tanh-free erf series used by numeric libraries."""
-    x = _c(x)
-    z = F.abs(x) / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + z * 0.5)
-    # Chebyshev coefficients of erfc, relative error below 1.2e-7.
-    coefs = [0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807,
-             -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223]
-    erfc = t * F.exp(-z * z + _poly(coefs, t))
-    return F.when(x >= 0, 1.0 - 0.5 * erfc).otherwise(0.5 * erfc)

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalar import NORMAL_TAIL, clip, normal_cdf, normal_ppf, symexp, symlog
+from ..functions import normal
+from ..functions.scalar import clip, symexp, symlog
 from . import ranks
 from .splits import kfold, stratified_kfold
 
@@ -59,7 +60,7 @@ class NumericFit:
         if self.kind == "robust":
             q1, med, q3 = self.quartiles
             return (x - F.lit(med)) / F.lit((q3 - q1) or 1.0)
-        return uniform_or_normal(x, self.knots, self.kind)
+        return empirical_cdf(x, self.knots, self.kind)
 
     def columns(self, name: str) -> list[Column]:
         if self.dropped:
@@ -75,42 +76,40 @@ def knot_probs(n_rows: int) -> list[float]:
     return [0.0] if k == 1 else [i / (k - 1) for i in range(k)]
 
 
-def empirical_cdf(x: Column, knots: Sequence[float]) -> Column:
-    """Interpolated distribution function; a repeated knot gets the middle of its range."""
+def empirical_cdf(x: Column, knots: Sequence[float], kind: str = "quantile_uniform") -> Column:
+    """Interpolated distribution function, or the normal score of it.
+
+    A repeated knot gets the middle of its range of references.
+    """
     q = np.asarray(knots, dtype=float)
     refs = np.linspace(0.0, 1.0, len(q))
+    edge = normal.NORMAL_TAIL if kind == "quantile_normal" else 0.0
 
     @F.pandas_udf("double")
     def look_up(values: pd.Series) -> pd.Series:
         v = values.to_numpy(dtype=float, na_value=np.nan)
-        both = np.interp(v, q, refs) - np.interp(-v, -q[::-1], -refs[::-1])
-        out = 0.5 * both
-        out[v == q[-1]] = 1.0
-        out[v == q[0]] = 0.0
+        out = 0.5 * (np.interp(v, q, refs) - np.interp(-v, -q[::-1], -refs[::-1]))
+        out[v + edge > q[-1] if edge else v == q[-1]] = 1.0
+        out[v - edge < q[0] if edge else v == q[0]] = 0.0
+        if kind == "quantile_normal":
+            out = normal.ppf(out)
         return pd.Series(out).where(~np.isnan(v), None)
 
     return look_up(x)
 
 
-def uniform_or_normal(x: Column, knots: Sequence[float], kind: str) -> Column:
-    u = empirical_cdf(x, knots)
-    if kind == "quantile_uniform":
-        return u
-    lo, hi = knots[0], knots[-1]
-    edged = F.when(x - NORMAL_TAIL < lo, 0.0).when(x + NORMAL_TAIL > hi, 1.0).otherwise(u)
-    return normal_ppf(F.when(x.isNotNull(), edged))
-
-
-def from_uniform(u: Column, knots: Sequence[float]) -> Column:
+def from_quantile(z: Column, knots: Sequence[float], kind: str) -> Column:
+    """Inverse of ``empirical_cdf``."""
     q = np.asarray(knots, dtype=float)
     refs = np.linspace(0.0, 1.0, len(q))
 
     @F.pandas_udf("double")
     def back(values: pd.Series) -> pd.Series:
         v = values.to_numpy(dtype=float, na_value=np.nan)
-        return pd.Series(np.interp(v, refs, q)).where(~np.isnan(v), None)
+        u = normal.cdf(v) if kind == "quantile_normal" else v
+        return pd.Series(np.interp(u, refs, q)).where(~np.isnan(v), None)
 
-    return back(u)
+    return back(z)
 
 
 def feature_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -403,7 +402,7 @@ class TargetTransform:
             return symlog(y)
         if self.kind == "standard":
             return (y - F.lit(self.mean)) / F.lit(self.sd)
-        return uniform_or_normal(y, self.knots, self.kind)
+        return empirical_cdf(y, self.knots, self.kind)
 
     def inverse(self, z: Column) -> Column:
         if self.kind == "none":
@@ -412,7 +411,7 @@ class TargetTransform:
             return symexp(z)
         if self.kind == "standard":
             return z * F.lit(self.sd) + F.lit(self.mean)
-        return from_uniform(normal_cdf(z) if self.kind == "quantile_normal" else clip(z, 0, 1), self.knots)
+        return from_quantile(z, self.knots, self.kind)
 
 
 def fit_target_transform(train: DataFrame, kind: str, y: str = "y") -> TargetTransform:
