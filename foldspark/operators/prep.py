@@ -98,6 +98,39 @@ def empirical_cdf(x: Column, knots: Sequence[float], kind: str = "quantile_unifo
     return look_up(x)
 
 
+def empirical_cdf_by_key(x: Column, key: Column, knots: Mapping[str, Sequence[float]],
+                         kind: str = "quantile_uniform") -> Column:
+    """``empirical_cdf`` where each row names its own knot list."""
+    edge = normal.NORMAL_TAIL if kind == "quantile_normal" else 0.0
+    tables = {k: np.asarray(v, dtype=float) for k, v in knots.items()}
+
+    @F.pandas_udf("double")
+    def look_up(values: pd.Series, keys: pd.Series) -> pd.Series:
+        v = values.to_numpy(dtype=float, na_value=np.nan)
+        out = np.full(len(v), np.nan)
+        for k, at in keys.groupby(keys).indices.items():
+            q, w = tables[k], v[at]
+            refs = np.linspace(0.0, 1.0, len(q))
+            u = 0.5 * (np.interp(w, q, refs) - np.interp(-w, -q[::-1], -refs[::-1]))
+            u[w + edge > q[-1] if edge else w == q[-1]] = 1.0
+            u[w - edge < q[0] if edge else w == q[0]] = 0.0
+            out[at] = normal.ppf(u) if kind == "quantile_normal" else u
+        return pd.Series(out).where(~np.isnan(v), None)
+
+    return look_up(x, key)
+
+
+def cross_quantiles(long: DataFrame, kind: str, n_folds: int, fold: str = "cv_fold") -> DataFrame:
+    """Copies (feature, eval_fold, ...) of a long table whose x is the quantile transform
+    fitted on the rows outside the evaluated fold: one quantile job for all features and folds."""
+    spread = long.withColumn("eval_fold", F.explode(F.array(*[F.lit(f) for f in range(n_folds)])))
+    key = F.concat_ws("|", "feature", F.col("eval_fold").cast("string"))
+    train = spread.filter(F.col(fold) != F.col("eval_fold")).select(key.alias("key"), F.col("x").alias("value"))
+    n = min(r["n"] for r in train.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect())
+    knots = {r["key"]: list(r["q"]) for r in ranks.exact_quantiles(train, ["key"], "value", knot_probs(n)).collect()}
+    return spread.withColumn("x", empirical_cdf_by_key(F.col("x"), key, knots, kind))
+
+
 def from_quantile(z: Column, knots: Sequence[float], kind: str) -> Column:
     """Inverse of ``empirical_cdf``."""
     q = np.asarray(knots, dtype=float)

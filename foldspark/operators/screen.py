@@ -114,6 +114,7 @@ def logistic_params(long: DataFrame, n_folds: int = 5, steps: int = 8, fold: str
         p = min(max(p, 1e-9), 1 - 1e-9)
         return float(np.log(p / (1 - p)))
 
+    long = long.persist()      # read once per Newton step; lost blocks are recomputed
     state = {(c, f): [logit(r[f"p{f}"], 0.5), 0.0] for c, r in base.items() for f in folds}
     spark = long.sparkSession
     for _ in range(steps):
@@ -137,6 +138,7 @@ def logistic_params(long: DataFrame, n_folds: int = 5, steps: int = 8, fold: str
                 step = np.clip(step, -5.0, 5.0)
                 state[r["feature"], f][0] += float(step[0])
                 state[r["feature"], f][1] += float(step[1])
+    long.unpersist()
     out = [(c, f, base[c][f"mu{f}"] or 0.0, base[c][f"sd{f}"] or 1.0, *state[c, f],
             logit(base[c][f"q{f}"], base[c][f"p{f}"] or 0.5)) for c in base for f in folds]
     return spark.createDataFrame(

@@ -88,27 +88,18 @@ def single_feature_linear(t):
     return _scored(G.line_predictions(long))
 
 
-def fold_transform(df, cols, kind):
-    """Long table whose x is transformed with statistics of the other folds, missing kept as NULL."""
-    out = None
-    for f in range(5):
-        fits = P.fit_numeric(df.filter(F.col("cv_fold") != f), {c: kind for c in cols})
-        part = df.filter(F.col("cv_fold").isNotNull()).select(
-            "row_id", "y", "cv_fold", F.lit(f).alias("eval_fold"),
-            *[fits[c].scaled(F.col(c)).alias(c) for c in cols if not fits[c].dropped])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
 def transformed_line_predictions(df, cols, kind):
-    """Out-of-fold line predictions on a transform refitted for every fold."""
-    wide = fold_transform(df, cols, kind)
-    long = wide.unpivot(["row_id", "y", "cv_fold", "eval_fold"], list(cols), "feature", "x")
+    """Out-of-fold line predictions on a quantile transform refitted for every fold."""
+    long = G.long_features(df, cols, ("row_id", "y", "cv_fold"))
+    spread = P.cross_quantiles(long, kind, 5)
     # every evaluated fold is its own two-group problem: training rows against the held-out ones
-    long = long.withColumn("feature", F.concat_ws("|", "feature", F.col("eval_fold").cast("string")))
     held = (F.col("cv_fold") == F.col("eval_fold")).cast("int")
-    preds = G.line_predictions(long.withColumn("held", held), "held").filter("held = 1")
-    return preds.withColumn("feature", F.substring_index("feature", "|", 1)).drop("held")
+    named = spread.withColumns({"feature": F.concat_ws("|", "feature", F.col("eval_fold").cast("string")), "held": held})
+    params = G.ranks.fit_small(G.line_params(named, "held").filter("held = 1"))
+    value = F.when(F.col("x").isNull(), F.col("missing_level")).otherwise(
+        F.col("level") + F.col("slope") * (F.col("x") - F.col("x0")))
+    rows = named.filter("held = 1").join(params, ["feature", "held"])
+    return rows.select("row_id", F.substring_index("feature", "|", 1).alias("feature"), "y", value.alias("pred"))
 
 
 from .q_prep import knots_sql  # noqa: E402
