@@ -102,7 +102,7 @@ class LinearCV:
             w, b = G.ridge(g, coef)
         elif self.reg_type == "omp":
             path = G.forward_path(g, int(coef))
-            w, b = path[-1] if path else G.elastic_net(g, np.inf)
+            w, b = path[-1] if path else (np.zeros(len(self.features)), G.centred(g)[2])
         else:
             w, b = G.elastic_net(g, coef, 1.0 if l1_ratio is None else l1_ratio)
         return np.append(w, b)[None, :]
@@ -125,6 +125,20 @@ class LinearCV:
         self.coef, self.best_l1_ratio = float(best["c"]), float(best["l1_ratio"])
         self.weights = L.spark_fit(df, self.features, self.coef, self.n_classes, self.best_l1_ratio)
 
+    def fit_fixed(self, df: DataFrame, features: Sequence[str], coef: float, l1_ratio: float | None = None) -> LinearCV:
+        """Fit with a given penalty and no search; C = inf means no penalty for classes."""
+        self.features, self.coef, self.best_l1_ratio = list(features), coef, l1_ratio
+        if self.task == "regression":
+            self.transform = fit_target_transform(df, self.y_transform)
+            z = df.withColumn("_z", self.transform.forward(F.col("y")))
+            self.weights = self._solve(G.fold_grams(z, self.features, "_z").total, coef, l1_ratio)
+        elif self.reg_type == "l2":
+            task = L.Task(L.NO_FOLD, float(coef))
+            self.weights = L.newton_fits(df, self.features, [task], self.n_classes)[task]
+        else:
+            self.weights = L.spark_fit(df, self.features, coef, self.n_classes, l1_ratio or 1.0)
+        return self
+
     def score_column(self, weights: np.ndarray | None = None) -> Column:
         """Prediction: value, log odds, or log probabilities."""
         w = self.weights if weights is None else weights
