@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import _c
+from .ranks import spread
 
 MAX_WIDTH = 2_000
 # Default penalty grid of the cross-validated linear models.

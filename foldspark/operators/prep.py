@@ -19,6 +19,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import normal
 from ..functions.scalar import clip, symexp, symlog
+from ..session import cut
 from . import ranks
 from .splits import kfold, stratified_kfold
 
@@ -256,14 +257,21 @@ def choose_encoding(train: DataFrame, cols: Sequence[str], target_width: int = 1
 # target encoding
 
 
-def _encode(n: Column, s1: Column, s2: Column, n_all: Column, s1_all: Column, s2_all: Column) -> Column:
-    """Empirical-Bayes blend of the category mean and the overall mean (sums are of centred y)."""
-    mean_all = s1_all / n_all
-    var_all = s2_all / n_all - mean_all * mean_all
-    mean = s1 / n
-    var = F.greatest(s2 / n - mean * mean, F.lit(0.0))
-    weight = var_all * n / F.nullif(var_all * n + var, F.lit(0.0))
-    return F.coalesce(weight * mean + (1 - weight) * mean_all, mean_all)
+def _with_encoding(df: DataFrame, centre: float) -> DataFrame:
+    """Add ``enc``: empirical-Bayes blend of category mean and overall mean.
+
+    Reads n, s1, s2 of the category and n0, s0, q0 of all rows (sums of centred
+    y and of its square). The steps are separate projections, so generated code
+    computes each once.
+    """
+    n, n0 = F.nullif("n", F.lit(0)), F.nullif("n0", F.lit(0))
+    out = df.withColumns({"_mi": F.col("s1") / n, "_m0": F.col("s0") / n0})
+    out = out.withColumns({
+        "_vi": F.greatest(F.col("s2") / n - F.col("_mi") * F.col("_mi"), F.lit(0.0)),
+        "_a": F.greatest(F.col("q0") / n0 - F.col("_m0") * F.col("_m0"), F.lit(0.0)) * n})
+    out = out.withColumn("_w", F.col("_a") / F.nullif(F.col("_a") + F.col("_vi"), F.lit(0.0)))
+    blend = F.col("_w") * F.col("_mi") + (1 - F.col("_w")) * F.col("_m0")
+    return out.withColumn("enc", F.coalesce(blend, F.col("_m0")) + F.lit(centre))
 
 
 @dataclass
@@ -282,24 +290,24 @@ def fit_target(train: DataFrame, cols: Sequence[str], y: str = "y", fold: str =
     centre = train.agg(F.avg(y)).first()[0] or 0.0
     d = F.col(y) - F.lit(centre)
     long = train.select(fold, d.alias("d"), *cols).unpivot([fold, "d"], list(cols), "feature", "_cat")
-    cells = long.groupBy("feature", "_cat", fold).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("d").alias("s1"), F.sum(F.col("d") * F.col("d")).alias("s2"))
-    totals = train.select(fold, d.alias("d")).groupBy(fold).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("d").alias("s1"), F.sum(F.col("d") * F.col("d")).alias("s2")).collect()
+    # the cells are the only thing read from the rows; both encodings and the totals come from them
+    cells = cut(long.groupBy("feature", "_cat", fold).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("d").alias("s1"), F.sum(F.col("d") * F.col("d")).alias("s2")))
+    totals = cells.filter(F.col("feature") == cols[0]).groupBy(fold).agg(
+        *[F.sum(k).alias(k) for k in ("n", "s1", "s2")]).collect()
     n, s1, s2 = (sum(r[k] for r in totals) for k in ("n", "s1", "s2"))
     per_cat = cells.groupBy("feature", "_cat").agg(
         *[F.sum(k).alias(k) for k in ("n", "s1", "s2")],
         F.collect_list(F.struct(F.col(fold).alias("f"), "n", "s1", "s2")).alias("cells"))
-    full = per_cat.select("feature", "_cat", (_encode(
-        F.col("n"), F.col("s1"), F.col("s2"), F.lit(n), F.lit(s1), F.lit(s2)) + centre).alias("enc"))
+    whole = per_cat.withColumns({"n0": F.lit(n), "s0": F.lit(s1), "q0": F.lit(s2)})
+    full = _with_encoding(whole, centre).select("feature", "_cat", "enc")
     # complement of each fold, for the folds in which the category occurs (others never look it up)
-    out_n = F.element_at(F.create_map(*[x for r in totals for x in (F.lit(r[fold]), F.lit(n - r["n"]))]), F.col("c.f"))
-    out_1 = F.element_at(F.create_map(*[x for r in totals for x in (F.lit(r[fold]), F.lit(s1 - r["s1"]))]), F.col("c.f"))
-    out_2 = F.element_at(F.create_map(*[x for r in totals for x in (F.lit(r[fold]), F.lit(s2 - r["s2"]))]), F.col("c.f"))
-    left = F.col("n") - F.col("c.n")
-    inside = _encode(F.nullif(left, F.lit(0)), F.col("s1") - F.col("c.s1"), F.col("s2") - F.col("c.s2"), out_n, out_1, out_2)
-    crossed = per_cat.withColumn("c", F.explode("cells")).select(
-        "feature", "_cat", F.col("c.f").alias(fold), (inside + centre).alias("enc"))
+    rest = F.broadcast(train.sparkSession.createDataFrame(
+        [(r[fold], n - r["n"], s1 - r["s1"], s2 - r["s2"]) for r in totals], f"{fold} int, n0 long, s0 double, q0 double"))
+    inside = per_cat.withColumn("c", F.explode("cells")).select(
+        "feature", "_cat", F.col("c.f").alias(fold), (F.col("n") - F.col("c.n")).alias("n"),
+        (F.col("s1") - F.col("c.s1")).alias("s1"), (F.col("s2") - F.col("c.s2")).alias("s2")).join(rest, fold)
+    crossed = _with_encoding(inside, centre).select("feature", "_cat", fold, "enc")
     means = {r[fold]: (s1 - r["s1"]) / (n - r["n"]) + centre for r in totals if n > r["n"]}
     return {c: TargetFit(c, full.filter(F.col("feature") == c).drop("feature"),
                          crossed.filter(F.col("feature") == c).drop("feature"), s1 / n + centre, means)

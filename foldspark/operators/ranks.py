@@ -32,9 +32,24 @@ def _conf(df: DataFrame, key: str, default: int) -> int:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of a plan; reads statistics, runs no job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Bytes a plan reads: the optimizer's sizes of its sources after pruning, no job.
+
+    The estimate of the root would multiply the sides of every join.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small input one partition per core before work that multiplies its rows.
+
+    An input above 128 MB per core already has enough partitions and passes
+    through without a shuffle. Partitioning by key stays the same on a retry.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan_bytes(df) >= cores * (128 << 20):
+        return df
+    return df.repartition(cores, *keys)
 
 
 def is_large(df: DataFrame) -> bool:

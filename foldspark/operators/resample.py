@@ -37,14 +37,14 @@ def resample_exact(df: DataFrame, parts: Sequence[str], seeds: Sequence[int | No
     full = _full(df, seeds)
     if all(s is None for s in seeds):
         return full
-    indexed = ranks.dense_index(df, parts)
+    indexed = ranks.dense_index(ranks.spread(df, "row_id"), parts)
     sizes = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
     slots = indexed.select(*parts, F.col("idx").alias("_slot"))
     if parts:
         slots = slots.join(ranks.fit_small(sizes), parts)
     else:
         slots = slots.withColumn("_n", F.lit(sizes.first()["_n"]))
-    draws = slots.withColumn("bootstrap_seed", F.explode(_seeds(seeds)))
+    draws = ranks.spread(slots, "_slot").withColumn("bootstrap_seed", F.explode(_seeds(seeds)))
     draws = with_u63(draws, "_u", F.col("bootstrap_seed"), "_slot")
     # coalesce: a key that cannot be NULL keeps the join from testing the whole hash for NULL in the scan
     at = F.coalesce(F.col("_u") % F.col("_n"), F.lit(0).cast("long"))
@@ -61,7 +61,7 @@ def resample_poisson(df: DataFrame, parts: Sequence[str], seeds: Sequence[int |
     full = _full(df, seeds)
     if all(s is None for s in seeds):
         return full
-    spread = df.withColumn("bootstrap_seed", F.explode(_seeds(seeds)))
+    spread = ranks.spread(df, "row_id").withColumn("bootstrap_seed", F.explode(_seeds(seeds)))
     spread = with_poisson(spread, "_w", F.col("bootstrap_seed"))
     # the outer explode leaves a NULL for weight 0; testing that NULL, not the weight, keeps the
     # optimizer from copying the hash into a filter at the scan

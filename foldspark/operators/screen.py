@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.pvalue import pearson_pvalue
 from ..functions.scalar import nan_to_null, sigmoid
+from ..session import cut
 from . import ranks
 from .resample import FULL, resample
 
@@ -164,8 +165,8 @@ def fold_levels(long: DataFrame, sums: Sequence[Column], n_folds: int = 5, fold:
     the flag m = 1, as a second feature the tree may split on.
     """
     k = len(sums)
-    per = long.groupBy("feature", fold, "x").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(sums)])
+    per = cut(long.groupBy("feature", fold, "x").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(sums)]))
     others = F.filter(F.array(*[F.lit(f) for f in range(n_folds)]), lambda f: f != F.col(fold))
     spread = per.withColumn("eval_fold", F.explode(others))
     mean = ranks.fit_small(
@@ -228,7 +229,8 @@ def tree_predictions(long: DataFrame, sums: Sequence[Column], max_leaves: int =
     if max_leaves not in (2, 3):
         raise ValueError("screening trees have two or three leaves")
     k, parts = len(sums), ["feature", "eval_fold"]
-    levels = fold_levels(long, sums, n_folds, fold)
+    # one pass over the rows; every later step reads the levels, from reliable storage
+    levels = cut(fold_levels(long, sums, n_folds, fold))
     root = ranks.fit_small(best_splits(levels, parts, k).select(
         *parts, F.col("on_m").alias("m0"), F.col("thr").alias("t0")))
     sided = levels.join(root, parts, "left").withColumn("side", _side("m0", "t0"))

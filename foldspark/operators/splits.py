@@ -115,13 +115,11 @@ def stratified_kfold(df: DataFrame, k: int, label: str, seed: int | None = 0,
     blocks = ranks.fit_small(class_blocks(df, label))
     start, end = F.col("start"), F.col("start") + F.col("size")
 
-    def hits(i: int) -> Column:
-        return F.floor((end - 1 - i) / k) - F.floor((start - 1 - i) / k)
+    def up_to(n: Column, i: int) -> Column:
+        """How many of the first n positions fall to folds 0..i."""
+        return F.floor(n / k) * (i + 1) + F.least(n % k, F.lit(i + 1))
 
-    filled, slots = F.lit(0), []
-    for i in range(k - 1):
-        filled = filled + hits(i)
-        slots.append(F.struct(F.lit(i).alias("slot"), filled.alias("rank")))
+    slots = [F.struct(F.lit(i).alias("slot"), (up_to(end, i) - up_to(start, i)).alias("rank")) for i in range(k - 1)]
     bounds = _boundaries(keyed, [label], F.array(*slots), bucket, blocks)
     cut = _with_boundaries(keyed, [label], bounds)
     return cut.withColumn(fold_name, _after(F.col("_at")).cast("int")).drop("_at", "key")

@@ -10,6 +10,7 @@ from ..operators import linear as L
 from ..operators import logistic as LG
 from ..operators import metrics as M
 from ..operators import prep as P
+from ..operators import ranks
 from ..operators import splits as K
 from . import sqltext as S
 from . import views as V
@@ -191,7 +192,7 @@ def staged_auc(t):
     """AUC of fifty prediction vectors of the same rows in one grouped pass."""
     from ..functions.hashing import with_u01
 
-    p = with_u01(V.p_bin(t), {"u": 21})
+    p = with_u01(ranks.spread(V.p_bin(t), "row_id"), {"u": 21})
     step = F.explode(F.sequence(F.lit(0), F.lit(49))).alias("step")
     rows = p.select("y", "logit", "u", step)
     noisy = rows.select("step", "y", F.round(F.col("logit") + (50 - F.col("step")) * (F.col("u") - 0.5) / 5, 3).alias("logit"))

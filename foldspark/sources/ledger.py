@@ -10,24 +10,17 @@ the live rows into a new directory.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import glob_match
-from ..operators import ranks
-from ..session import checkpoint_dir
+from ..session import scratch  # noqa: F401  (part of the ledger's interface)
 
 KEY = ["dataset", "fold", "pipeline", "split"]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh directory below the cluster's shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def append(results: DataFrame, path: str) -> None:
     rows = results if "deleted" in results.columns else results.withColumn("deleted", F.lit(False))
     (rows.repartition("pipeline", "split", F.pmod(F.xxhash64("dataset", "fold"), F.lit(32)))
@@ -184,6 +177,3 @@ def result_age(results: DataFrame, now: Column) -> DataFrame:
     secs = now.cast("timestamp").cast("long") - F.col("finished_at").cast("timestamp").cast("long")
     return results.select(*KEY, secs.alias("age_seconds"))
 
-
-def small(df: DataFrame) -> DataFrame:
-    return ranks.fit_small(df)
