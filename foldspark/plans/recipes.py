@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from ..operators import boosting, constant, metrics, prep, ranks, screen
 from ..operators import scores as S
 from ..operators import splits as K
 from ..operators.linear import LinearCV
+from ..session import cut
 from ..sources import ledger as L
 from ..store import Store
 
@@ -117,14 +118,16 @@ class LinearRecipe(Recipe):
             fold = "te_fold"
             label = None if data.spec.task == "regression" else "y"
             folds = prep.target_folds(rows.filter(is_train).select("row_id", *([label] if label else [])), label)
-            rows = rows.join(folds.select("row_id", "te_fold"), "row_id", "left")
+            rows = cut(rows.join(folds.select("row_id", "te_fold"), "row_id", "left"))
         n = data.spec.n_classes if data.spec.task == "multiclass" else None
         space = prep.fit_features(rows.filter(is_train), kinds, "y", n)
         keep = [c for c in ("row_id", "y", "part", "cv_fold", "fit_fold") if c in rows.columns]
         return space.apply(rows, keep, fold), space.features
 
     def run(self, data, prev):
+        # the fits below read the rows many times: write the coded, folded table once
         data = data.coded()
+        data = replace(data, frame=cut(data.frame))
         task, n = data.spec.task, data.spec.n_classes
         is_train = F.col("part") == "train"
         train = data.subset("train")
@@ -140,7 +143,7 @@ class LinearRecipe(Recipe):
         preds = model.predict(ready).select("row_id", F.col("part").alias("subset"), "y", "pred")
 
         out_of_fold = None
-        cv_rows = with_cv(data)
+        cv_rows = cut(with_cv(data))
         for f in range(CV):
             outside = F.col("cv_fold") != f
             part, cols = self._space(data, cv_rows, outside, kinds)
