@@ -137,7 +137,7 @@ def forward_path(g: np.ndarray, max_features: int | None = None) -> list[tuple[n
 
 
 def fit_penalised(g: np.ndarray, l1: float = 0.0, l2: float = 0.0) -> tuple[np.ndarray, float]:
-    """One fit with the reference's penalty convention: ridge adds ``l2``; lasso and elastic net mix l1 + l2."""
+    """One fit by two penalties: ridge adds ``l2``; lasso and elastic net mix l1 + l2."""
     if l1 == 0:
         return ridge(g, l2)
     return elastic_net(g, l1 + l2, l1 / (l1 + l2))
