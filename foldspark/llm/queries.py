@@ -4,16 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldspark.llm import lines, quality
+from foldspark.llm import bagminhash, lines, mixing, multiindex, pieces, quality, shards
 from foldspark.plans.registry import query
 
 
+@query("op1_sharding")
+def op1(t):
+    return shards.shard_records(t.documents, n_shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op2_quality_rules")
 def op2(t):
     out, names = quality.judged(t.documents.select("doc_id", "text"))
     return out.select("doc_id", *(F.col(v).alias(k) for k, v in names.items()))
 
 
+@query("op3_source_mixing")
+def op3(t):
+    return mixing.draws(mixing.token_rows(t.documents)).drop("row")
+
+
+@query("op4_inverted_multi_index")
+def op4(t):
+    return multiindex.vector_classes(t.embeddings)
+
+
 @query("op5_line_dedup")
 def op5(t):
     return lines.line_digests(t.documents)
+
+
+@query("op6_sentencepiece")
+def op6(t):
+    out, names = pieces.encoded(t.documents.select("doc_id", "text"), keep_text=False)
+    return out.select("doc_id", *(F.col(v).alias(k) for k, v in names.items()))
+
+
+@query("op10_bagminhash")
+def op10(t):
+    return bagminhash.duplicate_classes(t.documents)
