@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldspark.llm import bagminhash, lines, mixing, multiindex, pieces, quality, shards
+from foldspark.llm import bagminhash, langid, lines, mixing, multiindex, pieces, quality, shards
 from foldspark.plans.registry import query
 
 
@@ -42,6 +42,13 @@ def op6(t):
     return out.select("doc_id", *(F.col(v).alias(k) for k, v in names.items()))
 
 
+@query("op7_language_id")
+def op7(t):
+    learn = t.documents.where(langid.fold(F.col("doc_id")) != 1).select("doc_id", "text", "lang")
+    out = langid.predicted(t.documents, langid.fit(learn))
+    return out.withColumn("held_out", F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(True)))
+
+
 @query("op10_bagminhash")
 def op10(t):
     return bagminhash.duplicate_classes(t.documents)
