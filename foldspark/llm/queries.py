@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldspark.llm import bagminhash, langid, lines, mixing, multiindex, pieces, quality, shards
+from foldspark.llm import bagminhash, langid, lines, mixing, multiindex, pieces, quality, shards, suffixes
 from foldspark.plans.registry import query
 
 
@@ -49,6 +49,12 @@ def op7(t):
     return out.withColumn("held_out", F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(True)))
 
 
+@query("op9_suffix_dedup")
+def op9(t):
+    return suffixes.without_repeats(t.documents).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_bagminhash")
 def op10(t):
     return bagminhash.duplicate_classes(t.documents)
