@@ -11,9 +11,11 @@ the largest component so far, so most shingles need a single point.
 Bands of the signature give buckets. Bags that are equal become one node first. In each
 bucket every member is verified against the most crowded one (the centre of a group of
 edited copies), exactly, by the overlap of the bags. Members of a bucket that end up in
-different classes are then verified with each other, unless their distances to the shared
-centre (1 - similarity is a metric) already rule a link out. Work is linear in a group of
-copies; no link between candidates is given up.
+different classes are then verified with each other: pair by pair in small buckets, unless
+their distances to the shared centre (1 - similarity is a metric) already rule a link out,
+and in blocks of bags that only return links in large ones. A group of edited copies thus
+needs one comparison each; only members that are apart from its centre need more, and no
+link between candidates is given up.
 
 Chance of missing a pair in all bands at similarity 0.8: (1 - 0.8**4)**24 < 4e-6.
 Defined cases: a text of fewer than five words is one shingle of all its words; null,
@@ -35,6 +37,8 @@ from foldspark.llm.graph import components
 
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 4, 24
 CHUNK_WORDS = 400_000
+#: A bucket with more pairs left than PAIRS is compared in blocks of LEFT by RIGHT bags.
+PAIRS, LEFT, RIGHT = 400, 256, 1024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,6 +179,42 @@ def _similarities(pairs: DataFrame, held: DataFrame) -> DataFrame:
         _verify, "a long, b long, sim double")
 
 
+def _block_links(crowd: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links of the minor members of large buckets with all members, compared in blocks; only links come out."""
+    members = crowd.select("main", "node").distinct()
+    minor = crowd.where("label <> main").select("main", "node").distinct()
+    sizes = cut(members.groupBy("main").agg(F.count("*").alias("r")).join(minor.groupBy("main").agg(F.count("*").alias("l")), "main").select(
+        "main", F.ceil(F.col("l") / LEFT).alias("lb"), F.ceil(F.col("r") / RIGHT).alias("rb")))
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = minor.join(sizes, "main").select("main", "node", F.lit(True).alias("left"), spot("lb").alias("i"), every("rb").alias("j"))
+    right = members.join(sizes, "main").select("main", "node", F.lit(False).alias("left"), every("lb").alias("i"), spot("rb").alias("j"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        side = frame["left"].to_numpy()
+        node = frame["node"].to_numpy()
+        bag = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in frame["bag"]]
+        r = np.flatnonzero(~side)
+        keys, counts = (np.concatenate([bag[k][n] for k in r]) for n in (0, 1))
+        owner = np.repeat(np.arange(len(r)), [bag[k].shape[1] for k in r])
+        order = np.argsort(keys, kind="stable")
+        keys, counts, owner = keys[order], counts[order].astype(np.int64), owner[order]
+        total = np.array([bag[k][1].sum() for k in r], np.int64)
+        out = []
+        for k in np.flatnonzero(side):
+            mine, times = bag[k]
+            a, b = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+            n = b - a
+            at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], np.minimum(counts[at], np.repeat(times.astype(np.int64), n)), len(r))
+            near = both >= similarity * (total + int(times.sum()) - both)
+            out += [(node[k], x) for x in node[r[near]] if x != node[k]]
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs.min(axis=1, initial=np.iinfo(np.int64).max), "b": pairs.max(axis=1, initial=-1)})
+
+    return left.unionByName(right).join(held, "node").groupBy("main", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a row number that stays, written to the shared folder."""
     row = fresh(docs, "bm_row")
@@ -207,13 +247,17 @@ def classes(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFr
     mixed = labelled.groupBy("band", "h").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"),
         F.max(F.when(F.col("node") == F.col("centre"), F.col("label"))).alias("main")).where("lo <> hi")
-    apart = labelled.where("node <> centre").join(mixed.select("band", "h", "main"), ["band", "h"])
+    apart = cut(labelled.where("node <> centre").join(mixed.select("band", "h", "main"), ["band", "h"]))
+    sizes = apart.groupBy("band", "h").agg(F.count("*").alias("s"), F.sum((F.col("label") != F.col("main")).cast("long")).alias("f"))
+    sized = apart.join(sizes.where("f > 0"), ["band", "h"])
+    few = sized.where(F.col("f") * F.col("s") <= PAIRS)
     near = F.abs(F.col("far") - F.col("far2")) <= 1 - similarity + 1e-9
-    others = apart.select("band", "h", F.col("node").alias("b"), F.col("label").alias("label2"), F.col("far").alias("far2"))
-    minor = apart.where("label <> main").select("band", "h", F.col("node").alias("a"), "label", "far")
+    others = few.select("band", "h", F.col("node").alias("b"), F.col("label").alias("label2"), F.col("far").alias("far2"))
+    minor = few.where("label <> main").select("band", "h", F.col("node").alias("a"), "label", "far")
     rest = minor.join(others, ["band", "h"]).where((F.col("label") != F.col("label2")) & near).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = cut(_similarities(rest, held).where(F.col("sim") >= similarity).select("a", "b"))
+    blocks = _block_links(sized.where(F.col("f") * F.col("s") > PAIRS), held, similarity)
+    found = cut(_similarities(rest, held).where(F.col("sim") >= similarity).select("a", "b").unionByName(blocks))
     final = first if found.isEmpty() else components(links.unionByName(found))
     return sketch.drop("bands").join(nodes.drop("bands"), ["f1", "f2"]).join(final, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
