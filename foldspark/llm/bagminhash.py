@@ -19,7 +19,7 @@ link between candidates is given up.
 
 Chance of missing a pair in all bands at similarity 0.8: (1 - 0.8**4)**24 < 4e-6.
 Defined cases: a text of fewer than five words is one shingle of all its words; null,
-empty and blank texts are never duplicates; the kept row of a class has its smallest
+empty and blank texts are copies of each other and of nothing else; the kept row of a class has its smallest
 doc_id, null ids last; repeated rows are copies; extra columns pass through.
 """
 
@@ -222,11 +222,11 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def classes(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(row, f1, f2, n, node, label): the node of equal bags and the class of every row with words."""
+    """(row, f1, f2, n, node, label): the node of equal bags and the class of every row."""
     sketch = cut(rows.select(F.col(row).alias("row"), "text").mapInArrow(
-        _sketch, "row long, f1 long, f2 long, n long, bands array<long>")).where("n > 0")
-    nodes = cut(sketch.groupBy("f1", "f2").agg(F.min("row").alias("node"), F.any_value("bands").alias("bands")))
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "h"))
+        _sketch, "row long, f1 long, f2 long, n long, bands array<long>"))
+    nodes = cut(sketch.groupBy("f1", "f2", "n").agg(F.min("row").alias("node"), F.any_value("bands").alias("bands")))
+    bands = nodes.where("n > 0").select("node", F.posexplode("bands").alias("band", "h"))
     crowds = bands.groupBy("band", "h").agg(F.count("*").alias("c")).where("c > 1")
     crowded = cut(bands.join(crowds, ["band", "h"]))
     degree = crowded.groupBy("node").agg(F.sum("c").alias("degree"))
@@ -259,7 +259,7 @@ def classes(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFr
     blocks = _block_links(sized.where(F.col("f") * F.col("s") > PAIRS), held, similarity)
     found = cut(_similarities(rest, held).where(F.col("sim") >= similarity).select("a", "b").unionByName(blocks))
     final = first if found.isEmpty() else components(links.unionByName(found))
-    return sketch.drop("bands").join(nodes.drop("bands"), ["f1", "f2"]).join(final, "node", "left").withColumn(
+    return sketch.drop("bands").join(nodes.drop("bands"), ["f1", "f2", "n"]).join(final, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldspark.llm import bagminhash, langid, lines, mixing, multiindex, pieces, quality, shards, suffixes
+from foldspark.llm import bagminhash, langid, lines, mixing, multiindex, pieces, pii, quality, shards, suffixes
 from foldspark.plans.registry import query
 
 
@@ -49,6 +49,11 @@ def op7(t):
     return out.withColumn("held_out", F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(True)))
 
 
+@query("op8_pii")
+def op8(t):
+    return pii.personal_data(t.documents, pii.fit(t.documents))
+
+
 @query("op9_suffix_dedup")
 def op9(t):
     return suffixes.without_repeats(t.documents).select(
