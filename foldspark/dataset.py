@@ -89,8 +89,10 @@ class Dataset:
         source = self.subset(splitter.from_subset)
         given = splitter.assign(source.select("row_id", *([label] if label else [])), label)
         moved = self.frame.join(given.withColumnRenamed("subset", "_new"), "row_id", "left")
+        inside = F.col("part") != "test" if splitter.from_subset == "trainval" else F.col("part") == splitter.from_subset
         names = [self.metadata["split"]] if "split" in self.metadata else []
-        return replace(self, frame=moved.withColumn("part", F.coalesce("_new", "part")).drop("_new"),
+        return replace(self, frame=moved.withColumn("part", F.when(inside, F.col("_new")).otherwise(F.col("part")))
+                       .filter(F.col("part").isNotNull()).drop("_new"),                  # a discarded side leaves
                        metadata={**self.metadata, "split": ";".join([*names, str(splitter)])})
 
     def fill_missing_categorical(self) -> Dataset:
@@ -163,7 +165,13 @@ class Predictions:
     def average(cls, items: Sequence[Predictions]) -> Predictions:
         first = items[0]
         k = first.n_classes if first.task == "multiclass" else None
-        mean = ensemble.average(cls._members(items), k).select("row_id", "pred")
+        members = cls._members(items)
+        mean = ensemble.average(members, k).select("row_id", "pred")
+        held = members.groupBy("row_id").agg(F.count("pred").alias("_n"))
+        whole = F.when(F.col("_n") == len(items), F.col("pred")).otherwise(
+            F.raise_error(F.concat(F.lit("a member has no prediction for row "), F.col("row_id").cast("string"))).cast(
+                mean.schema["pred"].dataType))
+        mean = mean.join(held, "row_id").select("row_id", whole.alias("pred"))
         return replace(first, frame=first.frame.drop("pred").join(mean, "row_id"), t=cls._sum_t(items))
 
     @classmethod

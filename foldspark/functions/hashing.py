@@ -47,7 +47,8 @@ def with_u32(df: DataFrame, seeds: Mapping[str, int | Column], row_id: str = "ro
     keep = df.columns
     # never NULL, so joins and filters on a hash push no null test of the whole expression into the scan
     rid = F.coalesce(F.col(row_id).cast("long"), F.lit(0).cast("long"))
-    high = (F.shiftright(rid, 32) * F.lit(STRIDE)).bitwiseAND(F.lit(MASK))
+    # the high word enters behind the key: two ids that meet under one seed part under the others
+    high = _turn(F.shiftright(rid, 32).bitwiseAND(F.lit(MASK)))
     keyed = {n: s for n, s in seeds.items() if isinstance(s, Column)}
     first = [(s.cast("long") * F.lit(STRIDE) + F.lit(1)).bitwiseAND(F.lit(MASK)) for s in keyed.values()]
     out = df.select(*keep, _turn(rid.bitwiseAND(F.lit(MASK))).alias("_m"), high.alias("_h"), *[
@@ -57,7 +58,7 @@ def with_u32(df: DataFrame, seeds: Mapping[str, int | Column], row_id: str = "ro
         return _fold(F.col(f"_k_{n}")) if n in keyed else F.lit(mix_int((s * STRIDE + 1) % WORD))
 
     out = out.select(*keep, *[
-        _turn(F.col("_m").bitwiseXOR(F.col("_h")).bitwiseXOR(key(n, s))).alias(f"_d_{n}") for n, s in seeds.items()])
+        _turn(F.col("_m").bitwiseXOR(key(n, s))).bitwiseXOR(F.col("_h")).alias(f"_d_{n}") for n, s in seeds.items()])
     return out.select(*keep, *[_fold(_turn(F.col(f"_d_{n}"))).alias(n) for n in seeds])
 
 

@@ -16,10 +16,10 @@ def _statistics(task: str, n_classes: int | None) -> list[Column]:
 
 
 def _prediction(task: str, n_classes: int | None) -> Column:
-    share = [F.col(f"s{k}") / F.col("n") for k in range(n_classes or 1)]
+    share = [F.col(f"s{k}") / F.nullif("n", F.lit(0)) for k in range(n_classes or 1)]
     if task == "regression":
         return share[0]
-    logs = [F.coalesce(F.log(s), F.lit(float("-inf"))) for s in share]
+    logs = [F.when(F.col("n") > 0, F.coalesce(F.log(s), F.lit(float("-inf")))) for s in share]
     return logs[1] - logs[0] if task == "binary" else F.array(*logs)
 
 

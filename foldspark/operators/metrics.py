@@ -70,10 +70,11 @@ def d2_absolute_error(df: DataFrame, by: Sequence[str], y: str = "y", pred: str
     rows = df.select(*by, F.col(y).cast("double").alias("y"), F.col(pred).cast("double").alias("pred"))
     med = ranks.exact_quantiles(rows, by, "y", [0.5], name="_q")
     if by:
-        rows = rows.join(ranks.fit_small(med), list(by))
+        rows = ranks.join_same(rows, ranks.fit_small(med), list(by), "left")
         centre = F.get(F.col("_q"), F.lit(0))
     else:
-        centre = F.lit(med.first()["_q"][0])
+        found = med.first()
+        centre = F.lit(found["_q"][0] if found and found["_q"] else None).cast("double")
     n = F.count("y")
     score = _ratio_score(F.sum(F.abs(F.col("y") - F.col("pred"))), F.sum(F.abs(F.col("y") - centre)),
                          _finite(F.col("y"), F.col("pred")) & (n >= 2))
@@ -82,7 +83,8 @@ def d2_absolute_error(df: DataFrame, by: Sequence[str], y: str = "y", pred: str
 
 def median_absolute_error(df: DataFrame, by: Sequence[str], y: str = "y", pred: str = "pred") -> DataFrame:
     err = df.select(*by, F.abs(F.col(y) - F.col(pred)).cast("double").alias("e"))
-    return ranks.exact_quantiles(err, by, "e", [0.5]).select(*by, F.get("q", F.lit(0)).alias("score"))
+    score = ranks.exact_quantiles(err, by, "e", [0.5]).select(*by, F.get("q", F.lit(0)).alias("score"))
+    return ranks.join_same(err.select(*by).distinct(), score, list(by), "left") if by else score
 
 
 def roc_auc(df: DataFrame, by: Sequence[str], y: str = "y", pred: str = "pred") -> DataFrame:
@@ -137,8 +139,8 @@ def quantile_mse_d2(df: DataFrame, by: Sequence[str], y: str = "y", pred: str =
     # twice the quantile times n, a whole number; the factor cancels in r2
     quant = cum.select(*by, "_v", (2 * F.col("cum__c") - F.col("_c")).cast("double").alias("_k"))
     pairs = rows.groupBy(*by, "_t", "_p").agg(F.count(F.lit(1)).alias("_m"))
-    pairs = pairs.join(quant.withColumnsRenamed({"_v": "_t", "_k": "_kt"}), [*by, "_t"])
-    pairs = pairs.join(quant.withColumnsRenamed({"_v": "_p", "_k": "_kp"}), [*by, "_p"])
+    pairs = ranks.join_same(pairs, quant.withColumnsRenamed({"_v": "_t", "_k": "_kt"}), by, strict=["_t"])
+    pairs = ranks.join_same(pairs, quant.withColumnsRenamed({"_v": "_p", "_k": "_kp"}), by, strict=["_p"])
     n, m = F.sum("_m"), F.col("_m")
     # the mean of the quantiles of n truths is exactly n (as a count) by symmetry
     t, p = F.col("_kt"), F.col("_kp")
@@ -169,7 +171,7 @@ def _fused(df: DataFrame, by: list[str], names: list[str], y: str, pred: str) ->
     rows = df
     if "d2_absolute_error" in names:
         med = ranks.exact_quantiles(df.select(*by, F.col(y).cast("double").alias("_y")), by, "_y", [0.5], name="_q")
-        rows = df.join(ranks.fit_small(med), by)
+        rows = ranks.join_same(df, ranks.fit_small(med), by, "left")
     t, p = F.col(y), F.col(pred)
     defined = _finite(t, p) & (F.count(t) >= 2)
     centre = F.get(F.col("_q"), F.lit(0))

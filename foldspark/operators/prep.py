@@ -110,13 +110,15 @@ def empirical_cdf_by_key(x: Column, key: Column, knots: Mapping[str, Sequence[fl
         v = values.to_numpy(dtype=float, na_value=np.nan)
         out = np.full(len(v), np.nan)
         for k, at in keys.groupby(keys).indices.items():
+            if k not in tables:                            # no value outside the fold: nothing to compare with
+                continue
             q, w = tables[k], v[at]
             refs = np.linspace(0.0, 1.0, len(q))
             u = 0.5 * (np.interp(w, q, refs) - np.interp(-w, -q[::-1], -refs[::-1]))
             u[w + edge > q[-1] if edge else w == q[-1]] = 1.0
             u[w - edge < q[0] if edge else w == q[0]] = 0.0
             out[at] = normal.ppf(u) if kind == "quantile_normal" else u
-        return pd.Series(out).where(~np.isnan(v), None)
+        return pd.Series(out).where(~np.isnan(out), None)
 
     return look_up(x, key)
 
@@ -127,7 +129,7 @@ def cross_quantiles(long: DataFrame, kind: str, n_folds: int, fold: str = "cv_fo
     spread = long.withColumn("eval_fold", F.explode(F.array(*[F.lit(f) for f in range(n_folds)])))
     key = F.concat_ws("|", "feature", F.col("eval_fold").cast("string"))
     train = spread.filter(F.col(fold) != F.col("eval_fold")).select(key.alias("key"), F.col("x").alias("value"))
-    n = min(r["n"] for r in train.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect())
+    n = min((r["n"] for r in train.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()), default=1)
     knots = {r["key"]: list(r["q"]) for r in ranks.exact_quantiles(train, ["key"], "value", knot_probs(n)).collect()}
     return spread.withColumn("x", empirical_cdf_by_key(F.col("x"), key, knots, kind))
 

@@ -78,6 +78,15 @@ def fit_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return df if local is None else F.broadcast(local)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+              strict: Sequence[str] = ()) -> DataFrame:
+    """Join on keys where NULL equals NULL (and on ``strict`` keys where it does not); keys come from the left."""
+    names = {k: f"_same_{k}" for k in [*keys, *strict]}
+    right = right.withColumnsRenamed(names)
+    on = [left[k].eqNullSafe(right[names[k]]) for k in keys] + [left[k] == right[names[k]] for k in strict]
+    return left.join(right, on, how).drop(*names.values())
+
+
 # --------------------------------------------------------------------------
 # thresholds of a uniform key
 
@@ -114,7 +123,7 @@ def row_thresholds(
     whole = W.partitionBy(*parts)
     hist = hist.withColumn("hi", F.sum("cnt").over(order)).withColumn("n", F.sum("cnt").over(whole))
     if extra is not None:
-        hist = hist.join(extra, parts)
+        hist = join_same(hist, extra, parts)
     first = F.col("hi") == F.col("cnt")
     wanted = (
         hist.withColumn("lo", F.col("hi") - F.col("cnt"))
@@ -130,8 +139,8 @@ def row_thresholds(
         F.collect_list(F.struct("slot", "r")).alias("ts"))
     inside = W.partitionBy(*parts, "_b").orderBy("key", "row_id")
     found = (
-        keyed.select(*parts, "_b", "key", "row_id")
-        .join(F.broadcast(per_bucket) if local_hint(wanted) else per_bucket, [*parts, "_b"])
+        join_same(keyed.select(*parts, "_b", "key", "row_id"),
+                  F.broadcast(per_bucket) if local_hint(wanted) else per_bucket, parts, strict=["_b"])
         .withColumn("rn", F.row_number().over(inside).cast("long"))
         .withColumn("t", F.explode(F.filter("ts", lambda t: t["r"] == F.col("rn"))))
         .select(*parts, F.col("t.slot").alias("slot"), "key", "row_id")
@@ -183,7 +192,7 @@ def bucketed(df: DataFrame, parts: Sequence[str], value: str) -> DataFrame | Non
     if cuts is None:
         return None
     if parts:
-        df = df.join(F.broadcast(cuts), list(parts), "left")
+        df = join_same(df, F.broadcast(cuts), list(parts), "left")
     else:
         values = cuts.first()["_cuts"]
         df = df.withColumn("_cuts", F.array(*[F.lit(v) for v in values]))
@@ -203,7 +212,7 @@ def running_sums(df: DataFrame, parts: Sequence[str], value: str, cols: Sequence
     before = W.partitionBy(*parts).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*parts, "_b", *[
         F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    joined = inner.join(fit_small(offsets, 5_000_000 // CUTS * 8), [*parts, "_b"])
+    joined = join_same(inner, fit_small(offsets, 5_000_000 // CUTS * 8), parts, strict=["_b"])
     return joined.select(*df.columns, *[
         (F.col(f"_in_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in cols])
 
@@ -256,7 +265,7 @@ def exact_quantiles(
                                      (F.col("t.rank") - F.col("_lo")).alias("r"))).alias("_ts"))
     )
     levels = (
-        split.join(fit_small(targets), [*parts, "_b"])
+        join_same(split, fit_small(targets), parts, strict=["_b"])
         .groupBy(*parts, "_b", "_v").agg(F.sum("_w").alias("_w"), F.first("_ts").alias("_ts"))
     )
     cum = F.sum("_w").over(W.partitionBy(*parts, "_b").orderBy("_v"))

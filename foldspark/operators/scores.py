@@ -64,7 +64,12 @@ def strict_deltas(left: DataFrame, right: DataFrame, extra: Sequence[str] = ())
     return both.drop("side")
 
 
-def concat(*tables: DataFrame) -> DataFrame:
+def concat(*tables: DataFrame, tasks: Sequence[str] | None = None) -> DataFrame:
+    """Rows of all tables; they must have the same columns and, where ``tasks`` names them, one task type."""
+    if tasks is not None and len(set(tasks)) > 1:
+        raise ValueError(f"tables of different task types: {sorted(set(tasks))}")
+    if any(set(t.columns) != set(tables[0].columns) for t in tables):
+        raise ValueError("the tables have different columns")
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)

@@ -73,14 +73,14 @@ def line_params(long: DataFrame, fold: str = "cv_fold") -> DataFrame:
     per = d.groupBy("feature", fold, "cx", "cy").agg(*[F.coalesce(s, F.lit(0)).alias(k) for k, s in sums.items()])
     all_folds = W.partitionBy("feature")
     rest = per.select("feature", fold, "cx", "cy", *[(F.sum(k).over(all_folds) - F.col(k)).alias(k) for k in sums])
-    n = F.col("n")
+    n = F.nullif("n", F.lit(0))                            # no value outside the fold: the missing rows' mean, a flat line
     mx, my = F.col("sx") / n, F.col("sy") / n
+    missing = F.col("cy") + F.col("sm") / F.nullif("nm", F.lit(0))
     sxx = F.col("sxx") - n * mx * mx
     slope = F.when(sxx > 0, (F.col("sxy") - n * mx * my) / sxx).otherwise(0.0)
-    return rest.select("feature", fold, (F.col("cx") + mx).alias("x0"), slope.alias("slope"),
-                       (F.col("cy") + my).alias("level"),
-                       F.when(F.col("nm") > 0, F.col("cy") + F.col("sm") / F.col("nm"))
-                       .otherwise(F.col("cy") + my).alias("missing_level"))
+    return rest.select("feature", fold, F.coalesce(F.col("cx") + mx, "cx").alias("x0"), F.coalesce(slope, F.lit(0.0)).alias("slope"),
+                       F.coalesce(F.col("cy") + my, missing).alias("level"),
+                       F.coalesce(missing, F.col("cy") + my).alias("missing_level"))
 
 
 def line_predictions(long: DataFrame, fold: str = "cv_fold") -> DataFrame:
@@ -172,8 +172,8 @@ def fold_levels(long: DataFrame, sums: Sequence[Column], n_folds: int = 5, fold:
     mean = ranks.fit_small(
         spread.filter(F.col("x").isNotNull()).groupBy("feature", "eval_fold")
         .agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mx")))
-    filled = spread.join(mean, ["feature", "eval_fold"])
-    return filled.groupBy("feature", "eval_fold", F.coalesce("x", "mx").alias("x"),
+    filled = spread.join(mean, ["feature", "eval_fold"], "left")
+    return filled.groupBy("feature", "eval_fold", F.coalesce("x", "mx", F.lit(0.0)).alias("x"),
                           F.col("x").isNull().cast("int").alias("m")).agg(
         F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
 
@@ -255,5 +255,5 @@ def tree_predictions(long: DataFrame, sums: Sequence[Column], max_leaves: int =
     centre = ranks.fit_small(levels.filter("m = 0").groupBy(*parts).agg(
         (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mx")))
     rows = long.withColumnRenamed(fold, "eval_fold").join(centre, parts, "left").withColumn(
-        "m", F.col("x").isNull().cast("int")).withColumn("x", F.coalesce("x", "mx"))
-    return leaf(rows).join(means, [*parts, "leaf"]).select("row_id", "feature", "eval_fold", "y", "value")
+        "m", F.col("x").isNull().cast("int")).withColumn("x", F.coalesce("x", "mx", F.lit(0.0)))
+    return leaf(rows).join(means, [*parts, "leaf"], "left").select("row_id", "feature", "eval_fold", "y", "value")

@@ -47,7 +47,7 @@ def _boundaries(df: DataFrame, parts: list[str], rank_list: Column, bucket, extr
 
 def _with_boundaries(df: DataFrame, parts: list[str], bounds: DataFrame) -> DataFrame:
     if parts:
-        return df.join(ranks.fit_small(bounds), parts)
+        return ranks.join_same(df, ranks.fit_small(bounds), parts)      # rows without a label are a class of their own
     row = bounds.first()
     pairs = [F.struct(F.lit(b["key"]).cast("long").alias("key"), F.lit(b["row_id"]).cast("long").alias("row_id"))
              for b in (row["_at"] if row else [])]

@@ -47,11 +47,11 @@ def score_deltas_outer(t):
 
 
 @query("bootstrap_alignment", S.with_views("v_scores", more=_PAIR) + """
-SELECT dataset, fold, n_seeds, n_seeds = n_all AS aligned FROM
-  (SELECT dataset, fold, count(DISTINCT bootstrap_seed) AS n_seeds FROM a WHERE subset = 'val' GROUP BY ALL HAVING count(bootstrap_seed) > 0)
-  JOIN (SELECT dataset, count(DISTINCT bootstrap_seed) AS n_all FROM a WHERE subset = 'val' GROUP BY ALL) USING (dataset)""")
+SELECT dataset, subset, fold, n_seeds, n_seeds = n_all AS aligned FROM
+  (SELECT dataset, subset, fold, count(DISTINCT bootstrap_seed) AS n_seeds FROM a GROUP BY ALL HAVING count(bootstrap_seed) > 0)
+  JOIN (SELECT dataset, subset, count(DISTINCT bootstrap_seed) AS n_all FROM a GROUP BY ALL) USING (dataset, subset)""")
 def bootstrap_alignment(t):
-    return C.seed_coverage(_run(t, "A").filter("subset = 'val'"), ["dataset"])
+    return C.seed_coverage(_run(t, "A"), ["dataset", "subset"])
 
 
 @query("scores_get", S.with_views("v_scores") + f"""
@@ -142,19 +142,18 @@ def _options(t, where):
     return V.v_scores(t).filter(where).withColumn("option_order", order)
 
 
-@query("select_best_run", _best_sql("dataset, fold", "subset = 'val' AND metric = 'r2' AND bootstrap_seed = 0"))
+@query("select_best_run", _best_sql("dataset, fold", "subset = 'val' AND metric = 'r2' AND bootstrap_seed IS NULL"))
 def select_best_run(t):
     """Best of three runs per dataset and fold by the selection metric; the first run wins ties."""
-    best = C.best_of(_options(t, "subset = 'val' and metric = 'r2' and bootstrap_seed = 0"), _K)
+    best = C.best_of(_options(t, "subset = 'val' and metric = 'r2' and bootstrap_seed is null"), _K)
     return best.select(*_K, "run", X.zero_safe_round("score").alias("score"))
 
 
-@query("select_best_preproc", _best_sql("dataset, bootstrap_seed", "subset = 'test' AND metric = 'r2' AND fold = 0 AND bootstrap_seed IS NOT NULL"))
+@query("select_best_preproc", _best_sql("dataset, fold, subset, bootstrap_seed", "metric = 'r2' AND bootstrap_seed IS NOT NULL"))
 def select_best_preproc(t):
     """Best transform per feature: seeds stand for features, runs for transforms."""
-    best = C.best_of(_options(t, "subset = 'test' and metric = 'r2' and fold = 0 and bootstrap_seed is not null"),
-                     ["dataset", "bootstrap_seed"])
-    return best.select("dataset", "bootstrap_seed", "run", X.zero_safe_round("score").alias("score"))
+    best = C.best_of(_options(t, "metric = 'r2' and bootstrap_seed is not null"), [*_K, "subset", "bootstrap_seed"])
+    return best.select(*_K, "subset", "bootstrap_seed", "run", X.zero_safe_round("score").alias("score"))
 
 
 @query("select_best_alpha", S.with_views("v_scores") + f"""

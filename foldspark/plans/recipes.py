@@ -7,6 +7,7 @@ recipes; the runner resolves them in stages, so one call finishes a chain.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -339,7 +340,8 @@ class Linear_l2_num_featureWisePreproc(LinearRecipe):
 
 
 class BoostingRecipe(Recipe):
-    max_rounds, patience, recut, depth, learning_rate = 1000, 500, 50, 6, 0.1
+    # early stopping ends a fit long before the limit
+    max_rounds, patience, recut, depth, learning_rate = 100_000, 500, 50, 6, 0.1
 
     def splits(self):
         return {f"cv5_seed0_fold{i}": [] for i in range(5)}
@@ -368,26 +370,42 @@ class Boosting_baseline(BoostingRecipe):
         return self._fit(data, None)
 
 
+@dataclass(frozen=True)
+class Start:
+    """Where a boosting run takes its start predictions from."""
+
+    recipe: str
+    split: str = "none"
+    field: str = "predictions"
+
+    @property
+    def stored(self) -> str:
+        """A stored model stands for its predictions."""
+        return {"model": "predictions"}.get(self.field, self.field)
+
+    def key(self, here: str) -> tuple[str, str]:
+        return self.recipe, {"same": here}.get(self.split, self.split)
+
+
 @recipe
 class Boosting_init(BoostingRecipe):
     """Boosting from stored predictions; parameter ``recipe:split:field``, split ``same`` is the current one."""
 
-    def _source(self, split: str) -> tuple[str, str, str]:
-        parts = (self.param or "Linear_l2_OHE_standard").split(":")
-        wanted = parts[1] if len(parts) > 1 else "none"
-        field_ = parts[2] if len(parts) > 2 else "predictions"
-        return parts[0], split if wanted == "same" else wanted, "predictions" if field_ == "model" else field_
+    FORM = re.compile(r"(?P<recipe>[^:]+)(:(?P<split>[^:]*))?(:(?P<field>[^:]*))?")
+
+    @property
+    def start(self) -> Start:
+        found = self.FORM.fullmatch(self.param or "Linear_l2_OHE_standard")
+        if found is None:
+            raise ValueError(f"not of the form recipe:split:field: {self.param!r}")
+        return Start(**{k: v for k, v in found.groupdict().items() if v})
 
     def splits(self):
-        out = {}
-        for i in range(5):
-            name, split, _ = self._source(f"cv5_seed0_fold{i}")
-            out[f"cv5_seed0_fold{i}"] = [(name, split)]
-        return out
+        own = super().splits()
+        return {here: [self.start.key(here)] for here in own}
 
     def run(self, data, prev):
-        name, split, field_ = self._source(data.metadata["split"])
-        return self._fit(data, prev[name, split][field_])
+        return self._fit(data, prev[self.start.key(data.metadata["split"])][self.start.stored])
 
 
 # --------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,16 +25,23 @@ def local_session(name: str = "foldspark", cores: int | str = 8) -> SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is set."""
+    """The shared checkpoint folder of the cluster; a temporary one only in local mode where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = existing.get() if existing.isDefined() else tempfile.mkdtemp(prefix="foldspark-")
+        path = existing.get() if existing.isDefined() else local_folder(spark.sparkContext.master)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def local_folder(master: str) -> str:
+    """A temporary folder for a single machine; executors elsewhere would each write to their own."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="foldspark-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh directory below the checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -45,6 +53,19 @@ def cut(df: DataFrame) -> DataFrame:
     Unlike a cached block the table survives lost executors, and unlike a
     checkpointed RDD it keeps its size statistics and column pruning.
     """
+    return kept_table(df)[0]
+
+
+def kept_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """``cut`` that also gives the table's place, for ``remove_table`` once a later one replaces it."""
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``kept_table`` wrote."""
+    if not re.fullmatch(r".*/cut-[0-9a-f]{32}", path):
+        raise ValueError(f"not a table that was kept: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
