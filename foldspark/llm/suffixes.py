@@ -125,8 +125,8 @@ def _tuples(least: int):
 
 
 def _repeated(rows: DataFrame, column: str) -> DataFrame:
-    """The values of a column that occur twice or more."""
-    return rows.groupBy(column).agg(F.count("*").alias("c")).where("c > 1").select(F.col(column).alias(f"{column}_again"))
+    """The values of a column that occur twice or more, as a table: a join with it can split hot values."""
+    return cut(rows.groupBy(column).agg(F.count("*").alias("c")).where("c > 1").select(F.col(column).alias(f"{column}_again")))
 
 
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +140,7 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = cut(held.join(again, F.col("whole") == F.col("whole_again"), "left").withColumn(
         "all", F.col("whole_again").isNotNull()).drop("whole_again"))
     is_open = ~F.col("all") & ~F.col("seen")
-    cores = held.where(is_open).select(F.col("core").alias("c")).distinct()
+    cores = cut(held.where(is_open).select(F.col("core").alias("c")).distinct())
     names_ = [c for c in held.columns if c not in ("whole", "all", "seen")]
     partners = held.where(~is_open).join(cores, F.col("core") == F.col("c"), "left_semi").groupBy("whole").agg(
         F.min(F.struct(*names_)).alias("one")).select("one.*", F.lit(True).alias("seen"))

@@ -1,0 +1,404 @@
+"""Brute force and edge cases of the operators on documents."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from foldspark.llm import bagminhash, langid, lines, mixing, pieces, pii, quality, shards, suffixes
+
+WS = "\t\n\x0b\x0c\r "
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bm_row string, ln_mark int, n_words int"
+
+
+def words_of(text):
+    return re.findall("[^\x20\x09-\x0D]+", text or "")
+
+
+def made_texts():
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    long = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage = long(120)
+    base = long(150).split()
+    edited = []
+    for k in (1, 2, 3, 6):
+        copy = base[:]
+        for i in rng.sample(range(150), k):
+            copy[i] = f"edit{k}x{i}"
+        edited.append(" ".join(copy))
+    texts = [None, "", " \n\t ", "one", "one two three", long(400), passage + "\nA shared line of text\n" + long(80),
+             long(90) + "\n  a SHARED line of text\t\n" + passage, " ".join(base), *edited, "x" * 3000, "ab " * 500,
+             "the same three words " * 60, "1.2.3.4 a.b@c.de +1 (607) 555-1595 4111 1111 1111 1111", "\n".join(["short"] * 30)]
+    return texts + texts[3:9] + [long(3000)]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    """Null and repeated ids, repeated rows, empty and long texts, and columns with names used inside."""
+    texts = made_texts()
+    rows = [(i if i % 11 else None, t, ["en", "fr", None][i % 3], [f"s{i % 4}", None][i == 5], 0, "x", 1, 2) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[6], rows[6]]
+    return spark.createDataFrame(rows, SCHEMA), rows
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_shards_are_near_equal_and_gapless(table, nothing):
+    docs, rows = table
+    got = shards.shard_records(docs, 4).collect()
+    assert len(got) == len(rows)
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted((r.size, r.text_crc32) for r in got) == sorted(
+        (len((x[1] or "").encode()) + 16, zlib.crc32((x[1] or "").encode())) for x in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in got)
+    assert shards.shard_records(nothing, 4).count() == 0
+
+
+def test_a_text_that_is_half_of_all_is_divided(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'copied text' ELSE concat('text ', id) END AS text")
+    got = shards.shard_records(docs, 8).groupBy("shard").sum("size").collect()
+    held = [r[1] for r in got]
+    assert len(held) == 8 and max(held) < 1.2 * sum(held) / 8
+
+
+def test_place_compares_all_columns():
+    rng = np.random.default_rng(1)
+    bounds = sorted({tuple(int(x) for x in rng.integers(0, 4, 3)) for _ in range(20)})
+    rows = rng.integers(-1, 5, (200, 3))
+    got = shards.place([np.array([b[i] for b in bounds]) for i in range(3)], [rows[:, i] for i in range(3)])
+    assert got.tolist() == [sum(b <= tuple(r) for b in bounds) for r in rows.tolist()]
+
+
+def measures(text):
+    w = words_of(text)
+    seen = collections.Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    inside = {i + j for i in range(len(w) - 2) if seen[tuple(w[i:i + 3])] > 1 for j in range(3)}
+    held = [x for x in (text or "").split("\n") if x.strip(WS)]
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(held) - len(set(held)), len(inside))
+
+
+def test_quality_measures_and_names(table, nothing):
+    docs, rows = table
+    out, names = quality.judged(docs, sample_rows=20)
+    got = out.select("text", *names.values()).collect()
+    keys = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    for r in got:
+        want = measures(r.text)
+        assert tuple(r[names[k]] for k in keys) == want
+        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
+        assert r[names["base_failed"]] == failed and not (failed and r[names["kept"]])
+    assert names["n_words"] != "n_words"                   # the table has its own
+    assert quality.keep_good(docs).columns == docs.columns
+    assert quality.judged(nothing)[0].count() == 0
+
+
+def test_the_order_of_the_rules_does_not_change_the_verdict(table):
+    docs, _ = table
+    out = []
+    for rules in (quality.RULES, quality.RULES[::-1]):
+        quality_order, quality.order_rules = quality.order_rules, lambda d, r, n: list(r)
+        try:
+            judged, names = quality.judged(docs, rules)
+            out.append(sorted(map(str, judged.select("text", names["kept"]).collect())))
+        finally:
+            quality.order_rules = quality_order
+    assert out[0] == out[1]
+
+
+def key_of(line):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(WS))
+
+
+def test_lines_against_brute_force(table, nothing):
+    docs, rows = table
+    who = lambda r: (r[0] is None, r[0] or 0, r[1] or "" if r[0] is None else "")
+    order = {}
+    for r in rows:
+        for x in (r[1] or "").split("\n"):
+            if len(key_of(x)) >= 10:
+                order.setdefault(key_of(x), set()).add(who(r))
+    # null ids of one line: which of them is first is open, so it must be one of them
+    want = collections.Counter()
+    for r in rows:
+        if r[0] is None:
+            continue
+        held = (r[1] or "").split("\n")
+        stay = [x for x in held if len(key_of(x)) < 10 or min(order[key_of(x)]) == who(r)]
+        want[(r[0], len(held), len(held) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest())] += 1
+    got = lines.line_digests(docs).collect()
+    assert len(got) == len(rows)
+    assert collections.Counter(tuple(r) for r in got if r.doc_id is not None) == want
+    assert lines.line_digests(nothing).count() == 0
+    kept = lines.drop_repeated_lines(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+
+
+def test_lines_over_many_ranges(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('the line of all documents\nown line of ', id) AS text")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = {r.doc_id: r.n_dropped for r in lines.line_digests(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got.pop(0) == 0 and set(got.values()) == {1}
+
+
+def bag(text):
+    w = words_of(text)
+    return collections.Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)])
+
+
+def test_near_duplicates_against_brute_force(table, nothing):
+    docs, rows = table
+    bags = [bag(r[1]) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = sum((bags[i] & bags[j]).values())
+            if both >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - both):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    least = {}
+    for x, r in zip(label, rows):
+        if r[0] is not None:
+            least[x] = min(least.get(x, r[0]), r[0])
+    got = bagminhash.duplicate_classes(docs).collect()
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == sorted((str(r[0]), str(least.get(x))) for x, r in zip(label, rows))
+    assert sum(r.kept for r in got) == len(set(label))
+    stay = bagminhash.one_of_each(docs)
+    assert stay.columns == docs.columns and stay.count() == len(set(label))
+    assert bagminhash.duplicate_classes(nothing).count() == 0
+
+
+def test_blocks_find_what_pairs_find(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(200)]
+    rows = []
+    for i in range(120):
+        copy = base[:]
+        for k in rng.sample(range(200), rng.randint(0, 9)):
+            copy[k] = f"e{rng.randint(0, 5)}at{k}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(bagminhash.duplicate_classes(docs).collect())
+    monkeypatch.setattr(bagminhash, "PAIRS", 0)
+    assert sorted(bagminhash.duplicate_classes(docs).collect()) == one
+
+
+def test_signatures_estimate_the_weighted_similarity():
+    texts = made_texts()[8:13]
+    keys, counts, starts = bagminhash.bags(*bagminhash.shingle_hashes(*bagminhash.word_hashes(pa.array(texts))))
+    sig = bagminhash.signatures(keys, counts, starts, 2048)
+    both = np.concatenate([np.arange(1, 41)] * 2)
+    w = np.concatenate([np.arange(1, 41), np.arange(1, 41)[::-1] + 5])
+    heavy = bagminhash.signatures(bagminhash.mix(both.astype(np.uint64)), w, np.array([0, 40, 80]), 4096)
+    assert abs((heavy[0] == heavy[1]).mean() - np.minimum(w[:40], w[40:]).sum() / np.maximum(w[:40], w[40:]).sum()) < 0.03
+    for i in range(1, 5):
+        a, b = bag(texts[0]), bag(texts[i])
+        m = sum((a & b).values())
+        assert abs((sig[0] == sig[i]).mean() - m / (sum(a.values()) + sum(b.values()) - m)) < 0.05
+
+
+def test_suffixes_against_brute_force(table, nothing):
+    docs, rows = table
+    for least in (100, 400):
+        texts = [(r[1] or "").encode() for r in rows]
+        want = collections.Counter()
+        for r, t, mask in zip(rows, texts, suffixes.brute_force(texts, least)):
+            runs = int((np.diff(mask.astype(int), prepend=0) == 1).sum())
+            want[(r[0], len(t), int(mask.sum()), runs, bytes(np.frombuffer(t, np.uint8)[~mask]))] += 1
+        got = suffixes.without_repeats(docs, least).collect()
+        assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
+    assert suffixes.without_repeats(nothing).count() == 0
+
+
+def test_long_texts_go_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    parts = ["".join(rng.choice("abcd") for _ in range(n)) for n in (900, 700, 1500)]
+    rows = [(0, parts[0] + parts[1] + parts[2]), (1, "y" + parts[1] + parts[2][:800] + "z"), (2, parts[2][:450] + "!" + parts[2][:450])]
+    texts = [t.encode() for _, t in rows]
+    want = [int(m.sum()) for m in suffixes.brute_force(texts)]
+    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == want
+    monkeypatch.setattr(suffixes, "PIECE", 128)
+    gram, first, last = zip(*[suffixes.samples(p, 400) for _, p in suffixes._pieces(np.frombuffer(texts[0], np.uint8), 400)])
+    assert sum(int((b - a + 1).sum()) for a, b in zip(first, last)) == len(texts[0]) - 399
+
+
+def test_mixing_meets_its_quotas(spark, nothing):
+    rows = [(i, "word " * (20 + i % 7), ["big"] * 8 + ["mid", "low"]) for i in range(2000)]
+    rows = [(i, t, s[i % 10] if i % 500 else None) for i, t, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    narrow = mixing.token_rows(docs)
+    held = collections.Counter()
+    for r in narrow.collect():
+        held[r.source] += r.tokens
+    for budget in (None, 9000, 90000):
+        uses = mixing.draws(narrow, budget, target_entropy=0.9, max_repeats=6.0).collect()
+        total, alpha = sum(held.values()), uses[0].alpha
+        weights = {s: (n / total) ** alpha for s, n in held.items()}
+        weights = {s: w / sum(weights.values()) for s, w in weights.items()}
+        p = np.array(list(weights.values()))
+        repeats = max(weights[s] / held[s] for s in held) / min(weights[s] / held[s] for s in held)
+        assert repeats <= 6.0 * (1 + 1e-9)
+        assert -(p * np.log(p)).sum() >= 0.9 * np.log(len(p)) - 1e-9 or abs(repeats - 6.0) < 1e-6
+        used = collections.Counter()
+        for r in uses:
+            used[r.source] += r.tokens
+            assert abs(r.weight - weights[r.source]) < 1e-9
+        for s in held:
+            quota = next(r.quota for r in uses if r.source == s)
+            if budget:
+                assert abs(quota - weights[s] * budget) <= 1
+            assert 0 <= used[s] - quota <= 40              # ends with the document that fills it
+        for e in {(r.source, r.epoch) for r in uses}:
+            ids = [r.doc_id for r in uses if (r.source, r.epoch) == e]
+            assert len(ids) == len(set(ids))
+        if budget is None:
+            assert {r.doc_id for r in uses} == {r[0] for r in rows}
+    assert mixing.mixed(nothing).count() == 0
+
+
+def test_mixing_keeps_rows_whole(table):
+    docs, rows = table
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert {str(tuple(r)) for r in out.collect()} == {str(tuple(r)) for r in rows}
+
+
+def test_pieces_are_the_models_own(table, nothing, spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    theirs = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    docs, rows = table
+    out, names = pieces.encoded(docs)
+    got = out.collect()
+    assert sorted(str((r.text, list(r[names["ids"]]))) for r in got) == sorted(str((x[1], theirs.encode(x[1] or ""))) for x in rows)
+    assert all(r[names["round_trip"]] and r[names["n_tokens"]] == len(r[names["ids"]]) for r in got)
+    back, name = pieces.decoded(out, names["ids"])
+    assert all(r[name] == (r.text or "") for r in back.collect())
+    assert pieces.encoded(nothing)[0].count() == 0
+    machine = pieces.compiled(pieces._model_bytes(pieces.MODEL))
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("abcdeth  \n▁êéñß.,'|*1234567890日本😀ABC<s>\t\0") for _ in range(rng.randint(0, 25)))
+        assert np.frombuffer(machine.encode(text), np.int32).tolist() == theirs.encode(text)
+
+
+def test_unigram_paths_are_shortest():
+    machine = pieces.Transducer.__new__(pieces.Transducer)
+    machine.kind, machine.pieces = pieces.UNIGRAM, ["a", "b", "ab", "ba", "aba"]
+    machine.scores, machine.missing, machine.bytes, machine.unknown = [-1.0, -2.0, -1.5, -4.0, -3.6], 20.0, {}, 9
+    machine.trie = {}
+    for i, p in enumerate(machine.pieces):
+        node = machine.trie
+        for c in p:
+            node = node.setdefault(c, {})
+        node[""] = i
+
+    def brute(text):
+        if not text:
+            return 0.0, []
+        out = [(20.0 + brute(text[1:])[0], [9] + brute(text[1:])[1])]
+        for i, p in enumerate(machine.pieces):
+            if text.startswith(p):
+                w, ids = brute(text[len(p):])
+                out.append((w - machine.scores[i], [i] + ids))
+        return min(out)
+
+    for text in ("a", "aba", "ababa", "bbab", "acab", "abaabab"):
+        assert machine.path(text) == brute(text)[1]
+
+
+def test_languages(spark, sf, nothing):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    models = langid.fit(docs.where(langid.fold(docs.doc_id) != 1).select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in langid.predicted(docs, models).collect()}
+    truth = [r for r in docs.select("doc_id", "lang").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in truth]) > 0.95
+    odd = spark.createDataFrame([(1, None), (2, "123 !"), (None, "the and of that"), (3, "日本" * 50), (1, None)], "doc_id long, text string")
+    out = langid.predicted(odd, models).collect()
+    assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
+    assert [r.lang_pred for r in out if r.doc_id in (1, 2)] == ["und"] * 3
+    assert next(r for r in out if r.doc_id == 3).rejected
+    assert {r.lang_pred for r in langid.predicted(odd, langid.fit(nothing.select("doc_id", "text", "lang"))).collect()} == {"und"}
+
+
+def test_characters_are_probabilities(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    models = langid.fit(docs, docs=20)
+    a = models.entropies(["the", None, "ÉTÉ de la"])[0]
+    b = models.entropies(["ÉTÉ de la"])[0]
+    assert np.allclose(a[2], b[0])                         # a text's score does not depend on its neighbours
+    seen = models.contexts[1]
+    for j in range(len(models.languages)):                 # the two-character model sums to one over known characters, at most
+        h = langid.grams(np.array([0, 0, 0, 0, 0, ord("e")]))[1][-1]
+        c = [langid.mix(np.array([h]) + np.array([ord(x) + 1], np.uint64) * langid.GOLDEN)[0] for x in "abcdefghijklmnopqrstuvwxyzéèêßäöüñóí"]
+        at = langid._find(models.grams[1], np.array(c, np.uint64))
+        assert 0.3 < np.exp(models.logs[1][at[at >= 0], j]).sum() <= 1.0 + 1e-5
+    assert len(seen)
+
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate(PATTERNS):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            checks = [True, k == 1 and all(int(x) <= 255 for x in m[0].split(".")), 12 <= len(d) <= 19 and pii.luhn(d), 9 <= len(d) <= 15]
+            if checks[k]:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_are_the_patterns():
+    rng = random.Random(1)
+    for _ in range(8000):
+        text = "".join(rng.choice("01239a.@+- ()x_%\n٣é") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(text) == plain_spans(text)
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+def test_personal_data(table, nothing, spark, sf):
+    docs, rows = table
+    field = pii.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    got = pii.personal_data(docs, field).collect()
+    assert len(got) == len(rows)
+    want = sorted((str(r[0]), hashlib.sha256(pii.listed(plain_spans(r[1] or "")).encode()).hexdigest()) for r in rows)
+    assert sorted((str(r.doc_id), r.base_sha256) for r in got) == want
+    for r in got:
+        assert len([x for x in r.spans.split(",") if x]) == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added
+    assert pii.personal_data(nothing, field).count() == 0
+
+
+def test_the_field_chooses_the_best_segmentation(spark, sf):
+    field = pii.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    text = "call +1 (607) 555-1595 or a.b@c.example.org from 10.2.3.4"
+    tokens = next(iter(pii.windows(text)))[-14:]
+
+    def best(n):
+        if n == 0:
+            return 0.0
+        out = [best(n - 1)]
+        for i, j in pii.candidates(text, tokens):
+            if j == n:
+                out.append(best(i) + field.scores(pii.features(text, tokens[i][0], tokens[j - 1][1])).max())
+        return max(out)
+
+    got = sum(field.scores(pii.features(text, a, b))[k] for a, k, b in field.decode(text, tokens))
+    assert abs(got - best(len(tokens))) < 1e-9
