@@ -206,8 +206,9 @@ class Models:
         cost = {s: (np.log(np.exp(-s * gap).sum(axis=1)) + s * gap[rows, c]).mean() for s in 2.0 ** np.arange(0, 10)}
         self.sharpness = min(cost, key=cost.get)
         right = e.argmin(axis=1) == c
-        for j in range(len(self.languages)):
+        for j in range(len(self.languages)):               # languages with few documents share one limit
             mine = e[right & (c == j), j]
+            mine = mine if len(mine) >= 20 else e[right].min(axis=1)
             if len(mine) >= 20:
                 self.limits[j] = np.quantile(mine, 0.995)
 
