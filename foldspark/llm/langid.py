@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm.bagminhash import GOLDEN, mix
 
-ORDER, DOCS, DOC_CHARS = 5, 800, 40_000
+ORDER, DOCS, DOC_CHARS, FEW = 5, 800, 40_000, 10
 UNKNOWN = "und"
 CHUNK = 1 << 20
 
@@ -116,6 +116,8 @@ class Models:
     def __init__(self, counts: pd.DataFrame, languages: list[str]):
         self.languages, k = languages, len(languages)
         self.sharpness, self.limits = 30.0, np.full(k, np.inf)
+        if not k:
+            return
         code = {x: i for i, x in enumerate(languages)}
         table = {}
         for n in range(1, ORDER + 1):
@@ -228,7 +230,9 @@ def fit(labelled: DataFrame, docs: int = DOCS, doc_chars: int = DOC_CHARS) -> Mo
     for lang, n in per.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * docs / n))).otherwise(share)
     draw = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = usable.where(draw(1) < share).where(F.char_length("text") <= doc_chars).select("text", "lang", (draw(2) < 2 / 3).alias("count"))
+    few = [lang for lang, n in per.items() if n < FEW]      # all of these are counted, none calibrate
+    sample = usable.where(draw(1) < share).where(F.char_length("text") <= doc_chars).select(
+        "text", "lang", ((draw(2) < 2 / 3) | F.col("lang").isin(few)).alias("count"))
     counts = sample.where("count").select("text", "lang").mapInArrow(
         _count, "lang string, n int, gram long, context long, suffix long, times long").groupBy(
         "lang", "n", "gram", "context", "suffix").agg(F.sum("times").alias("times")).toPandas()
