@@ -6,7 +6,8 @@ share of rejections order the cascade by rejections per second, and one CASE cha
 stops at the first rule that rejects. The order changes the cost, never the verdict.
 
 Defined cases: a null text has no words; texts without words fail the base; repeated
-rows are judged alike; extra columns pass through. Sample bound: ``SAMPLE_ROWS`` rows.
+rows are judged alike; extra columns pass through. Sample bound: ``SAMPLE_ROWS`` rows of at
+most ``SAMPLE_BYTES`` bytes; with no such row the rules keep the order of their names.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from foldspark.llm.common import SPACES, WORD_GAP, cut, fresh
 
-#: Rows on which the rules' costs and rejections are estimated.
-SAMPLE_ROWS = 500
+#: Rows on which the rules' costs and rejections are estimated, and the largest text among them.
+SAMPLE_ROWS, SAMPLE_BYTES = 500, 1 << 16
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -154,7 +155,9 @@ def base_failed(names: dict[str, str]) -> Column:
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a bounded sample, best first."""
-    measured, names = with_measures(docs.select("text").limit(sample_rows))
+    # collected, as a limit inside a plan takes that many rows from every partition of the table
+    first = docs.select("text").where(F.octet_length("text") <= SAMPLE_BYTES).limit(sample_rows).collect()
+    measured, names = with_measures(docs.sparkSession.createDataFrame([(r[0],) for r in first], "text string"))
     sample = cut(measured)
     found = {}
     for rule in rules:
