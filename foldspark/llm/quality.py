@@ -103,7 +103,7 @@ def odd_word_length(m: Measures) -> Column:
 
 def repeated_lines(m: Measures) -> Column:
     """More than half of the lines with a word repeat an earlier one."""
-    return m.n_dup_lines * 2 > F.regexp_count(m.text, F.lit(r"(?m)^[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]"))
+    return m.n_dup_lines * 2 > F.regexp_count(m.text, F.lit(r"(?md)^[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]"))
 
 
 def few_letter_words(m: Measures) -> Column:
@@ -119,8 +119,8 @@ def shouting(m: Measures) -> Column:
 
 def list_only(m: Measures) -> Column:
     """Over nine in ten of the lines with a word open with a bullet."""
-    lines = F.regexp_count(m.text, F.lit(r"(?m)^[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]"))
-    return F.regexp_count(m.text, F.lit("(?m)^[\\x20\\x09]*[-*•][\\x20\\x09]")) * 10 > lines * 9
+    lines = F.regexp_count(m.text, F.lit(r"(?md)^[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]"))
+    return F.regexp_count(m.text, F.lit("(?md)^[\\x20\\x09]*[-*•][\\x20\\x09]")) * 10 > lines * 9
 
 
 RULES = tuple(Rule(f.__name__, f) for f in (symbol_heavy, odd_word_length, repeated_lines, few_letter_words, shouting,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldspark.llm import bagminhash, langid, lines, mixing, multiindex, pieces, pii, quality, shards, suffixes
+from foldspark.llm import bagminhash, langid, lines, mixing, multiindex, pieces, pii, quality, shards, sql, suffixes
 from foldspark.plans.registry import query
 
 
@@ -15,7 +15,7 @@ def op1(t):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op2_quality_rules")
+@query("op2_quality_rules", sql.QUALITY)
 def op2(t):
     out, names = quality.judged(t.documents.select("doc_id", "text"))
     return out.select("doc_id", *(F.col(v).alias(k) for k, v in names.items()))
@@ -26,12 +26,12 @@ def op3(t):
     return mixing.draws(mixing.token_rows(t.documents)).drop("row")
 
 
-@query("op4_inverted_multi_index")
+@query("op4_inverted_multi_index", sql.VECTORS)
 def op4(t):
     return multiindex.vector_classes(t.embeddings)
 
 
-@query("op5_line_dedup")
+@query("op5_line_dedup", sql.LINES)
 def op5(t):
     return lines.line_digests(t.documents)
 
