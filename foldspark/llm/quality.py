@@ -187,4 +187,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES,
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that pass, with their own columns."""
     out, names = judged(docs, rules, sample_rows)
-    return out.where(F.col(names["kept"])).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # a filter below the measures would repeat them for each of its terms; it does not pass a partition number
+    here = fresh(out, "q_here")
+    held = out.withColumn(here, F.spark_partition_id()).where(F.col(names["kept"]) & (F.col(here) >= 0))
+    return held.select(*(F.col(f"`{c}`") for c in docs.columns))
