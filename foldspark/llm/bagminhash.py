@@ -274,7 +274,8 @@ def _with_classes(rows: DataFrame, row: str, similarity: float) -> DataFrame:
     member = cut(ids.join(classes(rows, row, similarity).select("row", "label"), "row", "left").withColumn(
         "label", F.coalesce("label", "row")))
     who = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
-    best = member.groupBy("label").agg(F.min(who).alias("best"), F.count("*").alias("class_size"))
+    # a table, so that the join can split the rows of a large class
+    best = cut(member.groupBy("label").agg(F.min(who).alias("best"), F.count("*").alias("class_size")))
     return member.join(best, "label").select(
         "row", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("best.row") == F.col("row")).alias("kept"))
 
