@@ -208,11 +208,19 @@ def _boost_rows(t, view, labels=None):
     return rows, space.features
 
 
+def _boosting(task, n_classes=None):
+    """Boosting with the recipe's rounds, patience and depth."""
+    from .recipes import BoostingRecipe as R
+
+    return T.Boosting(task, n_classes, depth=R.depth, learning_rate=R.learning_rate, max_rounds=R.max_rounds,
+                      early_stopping_rounds=R.patience)
+
+
 @query("boosting_fit")
 def boosting_fit(t):
-    """Four rounds of multiclass boosting; log loss of each subset."""
+    """Multiclass boosting until early stopping ends it; log loss of each subset."""
     rows, features = _boost_rows(t, V.v_mc_signal, V.CLASSES)
-    model = T.Boosting("multiclass", 3, depth=3, learning_rate=0.3, max_rounds=4)
+    model = _boosting("multiclass", 3)
     model.fit(rows.filter("fold > 1"), features, rows.filter("fold = 1"))
     scored = V.with_subset(model.predict(rows))
     return M.score_groups(scored, ["subset"], ["neg_log_loss", "balanced_accuracy"], 3)
@@ -225,7 +233,7 @@ def boosting_with_init(t):
     g = G.fold_grams(rows.filter("fold > 1"), ["c_acctbal", "n_mod"]).total
     w, b = G.ridge(g)
     rows = rows.withColumn("init", L.dot(["c_acctbal", "n_mod"], w, b))
-    model = T.Boosting("regression", depth=2, learning_rate=0.5, max_rounds=4)
+    model = _boosting("regression")
     model.fit(rows.filter("fold > 1"), features, rows.filter("fold = 1"), init="init")
     scored = V.with_subset(model.predict(rows, init="init"))
     both = scored.select("subset", "y", F.explode(F.array(
