@@ -9,14 +9,18 @@ digit or ``@`` and so lies inside such a window. A found span is added where it
 no base span. Besides the four base kinds the field knows ``secret`` (keys, passwords).
 
 Weights are learnt by the conditional likelihood (forward-backward over segments) on a
-bounded sample: at most ``WINDOWS`` windows from at most ``DOCS`` lines, labelled by
-the patterns and by assignments of long mixed strings. Defined cases: a null or empty text
+bounded sample: about ``WINDOWS`` windows from at most ``DOCS`` lines, labelled by
+the patterns and by assignments of long mixed strings. The lines are different ones drawn
+by a keyed hash over the whole table, half from all and half in equal parts from the lines
+of each kind, so every kind that occurs in such a line is seen wherever it stands; the order of
+rows and files plays no part. Defined cases: a null or empty text
 has no spans; offsets are code points, ends exclusive; repeated rows are judged alike.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 
@@ -25,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.llm.common import cut
+
 KINDS = ("email", "ip", "card", "phone", "secret")
-SPAN, DOCS, WINDOWS, ROUNDS, BOUND = 16, 2_000, 600, 5, 4_000
+SPAN, DOCS, WINDOWS, PER_LINE, ROUNDS, BOUND = 16, 2_000, 600, 4, 5, 4_000
 
 TRIGGER = re.compile("[0-9@]")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -231,19 +237,80 @@ def silver(text: str) -> set[tuple[int, int, int]]:
     return found
 
 
+def strata(limit: int) -> list[int]:
+    """How many lines each stratum gives: one for every silver kind, and a last one that every line belongs to."""
+    return [max(1, limit // (2 * len(KINDS)))] * len(KINDS) + [max(1, limit // 2)]
+
+
+def _least(limit: int):
+    """Map batches of (line, key) to each stratum's (stratum, key, line) of the least keys in the task."""
+    quota = strata(limit)
+
+    def run(batches):
+        held: list[dict[int, str]] = [{} for _ in quota]
+
+        def shrink(s: int) -> None:
+            held[s] = {k: held[s][k] for k in sorted(held[s])[:quota[s]]}
+
+        for batch in batches:
+            for line, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for s in {len(KINDS), *(k for _, k, _ in silver(line))}:
+                    held[s][key] = line
+                    if len(held[s]) >= 4 * quota[s]:
+                        shrink(s)
+        for s in range(len(quota)):
+            shrink(s)
+            yield pa.record_batch([pa.array([s] * len(held[s]), pa.int32()), pa.array(list(held[s]), pa.int64()),
+                                   pa.array(list(held[s].values()), pa.string())], ["stratum", "key", "line"])
+
+    return run
+
+
+def sample(docs: DataFrame, limit: int = DOCS) -> list[list[str]]:
+    """Different lines of each stratum with the least keyed hashes in the whole table, least first."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(
+        F.col("line").rlike("[0-9@]") & (F.char_length("line") <= BOUND))
+    keyed = lines.select("line", F.shiftrightunsigned(F.xxhash64("line", F.lit(5)), 2).alias("key"))
+    # each task keeps its own least keys; buckets by size of the key then bound what is gathered here
+    narrow = cut(keyed.mapInArrow(_least(limit), "stratum int, key long, line string").withColumn(
+        "bucket", F.floor(F.log2(F.col("key") + 1.0) * 16).cast("int")))
+    per = narrow.groupBy("stratum", "bucket").agg(F.countDistinct("key").alias("n")).orderBy("stratum", "bucket").collect()
+    quota = strata(limit)
+    last, seen = {}, [0] * len(quota)
+    for r in per:
+        if seen[r["stratum"]] < quota[r["stratum"]]:
+            last[r["stratum"]] = r["bucket"]
+        seen[r["stratum"]] += r["n"]
+    wanted = F.lit(False)
+    for s, bucket in last.items():
+        wanted = wanted | ((F.col("stratum") == s) & (F.col("bucket") <= bucket))
+    rows = narrow.where(wanted).select("stratum", "key", "line").distinct().collect()
+    out: list[list[str]] = [[] for _ in quota]
+    for r in sorted(rows, key=lambda r: (r["key"], r["line"])):
+        if len(out[r["stratum"]]) < quota[r["stratum"]]:
+            out[r["stratum"]].append(r["line"])
+    return out
+
+
 def fit(docs: DataFrame, limit: int = DOCS) -> Field:
     """Weights from lines with triggers, at most ``limit`` of them and of BOUND characters."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(
-        F.col("line").rlike("[0-9@]") & (F.char_length("line") <= BOUND)).limit(limit)
-    texts = sorted(r["line"] for r in lines.collect())
-    rng = np.random.default_rng(5)
-    rng.shuffle(texts)
-    field, examples = Field(), []
-    for text in texts:
-        truth = silver(text)
-        examples += [(text, w, truth) for w in windows(text)]
+    drawn = sample(docs, limit)
+    kinds = [(line, k) for turn in itertools.zip_longest(*drawn[:-1]) for k, line in enumerate(turn) if line is not None]
+    field, examples, used = Field(), [], set()
+    for pair in itertools.zip_longest(kinds, ((line, None) for line in drawn[-1])):     # in turn one of a kind, one of all
+        for text, kind in filter(None, pair):
+            if text in used:
+                continue
+            used.add(text)
+            truth = silver(text)
+            found = list(windows(text))
+            if kind is not None:                           # the windows that show the kind come first
+                spans = [(a, b) for a, k, b in truth if k == kind]
+                found.sort(key=lambda w: not any(w[0][0] <= a and b <= w[-1][1] for a, b in spans))
+            examples += [(text, w, truth) for w in found[:PER_LINE]]
         if len(examples) >= WINDOWS:
             break
+    rng = np.random.default_rng(5)
     for r in range(ROUNDS):
         for at in rng.permutation(len(examples)):
             field.learn(*examples[at], rate=0.3 / (1 + r))

@@ -402,3 +402,19 @@ def test_the_field_chooses_the_best_segmentation(spark, sf):
 
     got = sum(field.scores(pii.features(text, a, b))[k] for a, k, b in field.decode(text, tokens))
     assert abs(got - best(len(tokens))) < 1e-9
+
+
+def test_the_field_sees_kinds_at_the_end_of_the_table(spark):
+    rng = random.Random(8)
+    common = [f"Call +1 (607) 555-{i:04d} or order {i} today" for i in range(1500)]
+    rare = [f'config key = "{"".join(rng.choice("abcdefXYZ0123456789") for _ in range(40))}"' for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(common + rare)]
+    fields = []
+    for data, parts in ((rows, 3), (rows[::-1], 5)):
+        docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(parts)
+        fields.append(pii.fit(docs, limit=200))
+        for _, text in rows[-12:]:
+            a = text.index('"') + 1
+            assert (a, 4, a + 40) in pii.all_spans(text, fields[-1])[1]
+    assert fields[0].weights.keys() == fields[1].weights.keys()
+    assert all((w == fields[1].weights[k]).all() for k, w in fields[0].weights.items())
