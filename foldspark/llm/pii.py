@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and spans added by a semi-Markov conditional random field.
 
 The patterns give the base spans. The field then segments the tokens around every digit
-and every ``@``: a segment of at most ``SPAN`` tokens may be an entity of one kind, scored
+and every ``@``: a segment of at most ``SPAN`` tokens and ``CHARS`` characters, a single token, or
+an unbroken run of key characters, both of any length, may be an entity of one kind, scored
 by features of the whole span (its shape, lengths, checks such as Luhn, and what stands
 before and after it), all other tokens are segments of one. Dynamic programming over
 segment ends chooses boundaries and kinds together; it is exact, since an entity needs a
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-SPAN, DOCS, WINDOWS, PER_LINE, ROUNDS, BOUND = 16, 2_000, 600, 4, 5, 4_000
+SPAN, CHARS, DOCS, WINDOWS, PER_LINE, ROUNDS, BOUND = 16, 80, 2_000, 600, 4, 5, 4_000
 
 TRIGGER = re.compile("[0-9@]")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -42,6 +43,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"(?:token|password|secret|key)\s*=\s*\"?([0-9A-Za-z_-]{12,})|\b([A-Z]{4}[A-Z0-9]{16})\b")
+#: Unbroken runs as in keys and tokens, with padding; each is a candidate whatever its length.
+RUNS = (re.compile(r"[0-9A-Za-z_-]+"), re.compile(r"[0-9A-Za-z_-]+(?:[.+/~][0-9A-Za-z_-]+)*={0,2}"))
+JOINED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.+/~")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -88,6 +92,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def joined(text: str, at: int) -> bool:
+    """Whether the characters on both sides of a place belong to one unbroken run."""
+    return 0 < at < len(text) and text[at - 1] in JOINED and text[at] in JOINED
+
+
 def windows(text: str):
     """Token spans of every stretch around triggers: (start, end) lists, up to SPAN tokens wider on both sides."""
     stop = 0
@@ -96,25 +105,28 @@ def windows(text: str):
             continue
         before: list[tuple[int, int]] = []
         held: list[tuple[int, int]] = []
-        quiet = 0
+        quiet = unbroken = 0
         for m in TOKEN.finditer(text, line.start(), line.end()):
             stop = m.end()
             hot = TRIGGER.search(text, m.start(), stop) is not None
             if hot:
                 if not held:
-                    held = before[-SPAN:]
+                    held = before[-max(SPAN, unbroken if joined(text, m.start()) else 0):]
                 held.append((m.start(), stop))
                 quiet = 0
             elif held:
                 held.append((m.start(), stop))
                 quiet += 1
-                if quiet >= SPAN:
+                if quiet >= SPAN and not joined(text, stop):
                     yield held
-                    before, held = held[-SPAN:], []
+                    before, held, unbroken = held[-SPAN:], [], 0
             else:
                 before.append((m.start(), stop))
-                if len(before) > 4 * SPAN:
-                    before = before[-SPAN:]
+                if not joined(text, m.start()):
+                    unbroken = 0
+                unbroken += 1
+                if len(before) > 4 * max(SPAN, unbroken):
+                    before = before[-max(SPAN, unbroken):]
         if held:
             yield held
 
@@ -132,19 +144,32 @@ def shape(text: str) -> str:
 def candidates(text: str, tokens: list[tuple[int, int]]):
     """(i, j) of segments that could be entities: bounded, with a digit or @, and with enough characters."""
     hot = [TRIGGER.search(text, a, b) is not None for a, b in tokens]
+    found: set[tuple[int, int]] = set()
+    begin, end = {t[0]: i for i, t in enumerate(tokens)}, {t[1]: j for j, t in enumerate(tokens, 1)}
+    inside: set[int] = set()
+    for run in RUNS if tokens else ():                     # longer than a segment only where nothing breaks the run
+        for m in run.finditer(text, tokens[0][0], tokens[-1][1]):
+            i, j = begin.get(m.start()), end.get(m.end())
+            if i is not None and j is not None and (j - i > SPAN or m.end() - m.start() > CHARS) and any(hot[i:j]):
+                found.add((i, j))
+                if run is RUNS[0]:                         # and such a key is never divided
+                    inside.update(x for t in tokens[i:j] for x in t if m.start() < x < m.end())
     for i in range(len(tokens)):
         if i and tokens[i - 1][1] == tokens[i][0] and text[tokens[i][0]].isalnum() and text[tokens[i][0] - 1].isalnum():
             continue                                       # never begins inside a run of letters and digits
+        if tokens[i][0] in inside:
+            continue
         seen = False
         for j in range(i + 1, min(len(tokens), i + SPAN) + 1):
             seen = seen or hot[j - 1]
             a, b = tokens[i][0], tokens[j - 1][1]
-            if b - a > 80 or j - i > 1 and tokens[j - 1][0] - tokens[j - 2][1] > 1:
+            if b - a > CHARS and j - i > 1 or j - i > 1 and tokens[j - 1][0] - tokens[j - 2][1] > 1:
                 break
             if b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
                 continue
-            if seen and b - a >= 7:
-                yield i, j
+            if seen and b - a >= 7 and b not in inside:
+                found.add((i, j))
+    yield from sorted(found)
 
 
 def features(text: str, a: int, b: int) -> list[str]:
@@ -155,9 +180,10 @@ def features(text: str, a: int, b: int) -> list[str]:
     before = text[max(0, a - 24):a].split()[-1:] or [""]
     kind = shape(span)
     octets = len(parts) == 4 and all(p.isdigit() and p.isascii() and int(p) <= 255 for p in parts)
+    size = min(b - a, 47) if RUNS[1].fullmatch(span) else b - a            # long keys count as the longest usual ones
     return ["bias", f"shape={kind[:24]}", f"digits={min(len(d), 20)}", f"luhn={12 <= len(d) <= 19 and luhn(d)}",
             f"octets={octets}", f"at={min(span.count('@'), 2)}", f"dots={min(span.count('.'), 4)}", f"gap={' ' in span}",
-            f"length={(b - a) // 6}", f"first={shape(span[0])}", f"last={shape(span[-1])}", f"plus={span[0] == '+'}",
+            f"length={size // 6}", f"first={shape(span[0])}", f"last={shape(span[-1])}", f"plus={span[0] == '+'}",
             f"mixed={len(d) > 3 and 'a' in kind and not set(kind) - {'a', '9'}}", f"before={before[0][-10:].lower()}",
             f"left={shape(text[a - 1:a])}", f"right={shape(text[b:b + 1])}"]
 

@@ -418,3 +418,20 @@ def test_the_field_sees_kinds_at_the_end_of_the_table(spark):
             assert (a, 4, a + 40) in pii.all_spans(text, fields[-1])[1]
     assert fields[0].weights.keys() == fields[1].weights.keys()
     assert all((w == fields[1].weights[k]).all() for k, w in fields[0].weights.items())
+
+
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(6)
+    some = lambda n, letters="": "".join(rng.choice("abcdefghijklmXYZ0123456789" + letters) for _ in range(n))
+    lines = [f'{rng.choice(["set secret", "key", "token"])} = "a{some(38)}9"' for _ in range(40)]
+    lines += [f"Call +1 (607) 555-{i:04d} or order {i} on page {some(6)} of the book" for i in range(60)]
+    field = pii.fit(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    for n, letters in ((40, ""), (100, ""), (500, ""), (100, "-_"), (500, "-_")):
+        for _ in range(4):
+            key = f"a{some(n - 2, letters)}9"
+            text = f'set secret = "{key}"\nand go on'
+            a = text.index('"') + 1
+            assert (a, 4, a + n) in pii.all_spans(text, field)[1], (n, letters)
+    key = "-".join(["abcdef"] * 40) + "-1234567890"            # its first digit is far from its begin
+    tokens = [w for w in pii.windows(f"token = {key}") if w[-1][1] == len(key) + 8]
+    assert (8, len(key) + 8) in {(w[i][0], w[j - 1][1]) for w in tokens for i, j in pii.candidates(f"token = {key}", w)}
