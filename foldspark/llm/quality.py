@@ -68,7 +68,8 @@ def repeat_words(words: Column) -> Column:
     """Words inside a 3-word window whose words occur twice or more in the text.
 
     A window is a long of hash bits above its position, so one sort of longs brings
-    equal windows together; the position takes only the bits that this text needs.
+    equal windows together; the position takes only the bits that this text needs. The
+    words decide: where neighbours of equal bits differ, the windows are sorted by words.
     """
 
     def covered(it: Column) -> Column:
@@ -80,7 +81,23 @@ def repeat_words(words: Column) -> Column:
         def twice(s: Column) -> Column:
             pairs = F.filter(_neighbours(s, n), lambda z: (_shift("shiftright", z["x"].bitwiseXOR(z["p"]), bits) == 0)
                              | (_shift("shiftright", z["x"].bitwiseXOR(z["q"]), bits) == 0))
-            low = F.sort_array(F.transform(pairs, lambda z: z["x"].bitwiseAND(it["m"] - 1)))
+            return _let(pairs, exact)
+
+        def window(x: Column) -> Column:
+            at = x.bitwiseAND(it["m"] - 1).cast("int")
+            return F.struct(*(F.element_at(w, at + i).alias(f"w{i}") for i in (1, 2, 3)))
+
+        def exact(pairs: Column) -> Column:
+            place = lambda z: z["x"].bitwiseAND(it["m"] - 1)
+            mixed_up = F.exists(pairs, lambda z: (_shift("shiftright", z["x"].bitwiseXOR(z["q"]), bits) == 0)
+                                & (window(z["x"]) != window(z["q"])))
+            by_words = F.sort_array(F.transform(pairs, lambda z: F.struct(window(z["x"]).alias("t"), place(z).alias("at"))))
+            sure = lambda s: F.filter(F.transform(s, lambda z, i: F.when(
+                ((i > 0) & (F.get(s, i - 1)["t"] == z["t"])) | ((i + 1 < F.size(s)) & (F.get(s, i + 1)["t"] == z["t"])),
+                z["at"])), lambda x: x.isNotNull())
+            return _let(F.sort_array(F.when(mixed_up, _let(by_words, sure)).otherwise(F.transform(pairs, place))), count)
+
+        def count(low: Column) -> Column:
             return _let(low, lambda p: F.aggregate(
                 F.arrays_zip(p.alias("x"), F.concat(F.array(F.lit(-3).cast("long")), p).alias("b")),
                 F.lit(0).cast("long"), lambda acc, z: F.when(z["x"].isNull(), acc).otherwise(

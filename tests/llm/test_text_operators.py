@@ -435,3 +435,13 @@ def test_long_secrets_are_whole(spark):
     key = "-".join(["abcdef"] * 40) + "-1234567890"            # its first digit is far from its begin
     tokens = [w for w in pii.windows(f"token = {key}") if w[-1][1] == len(key) + 8]
     assert (8, len(key) + 8) in {(w[i][0], w[j - 1][1]) for w in tokens for i, j in pii.candidates(f"token = {key}", w)}
+
+
+def test_equal_hash_bits_are_not_equal_windows(spark, monkeypatch):
+    own = quality.F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: quality.F.pmod(own(*c), quality.F.lit(5)) if len(c) == 1 else own(*c))
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 3, 4, 20, 60, 200, 700)] + made_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = docs.select("text", quality.repeat_words(quality.word_array(quality.F.col("text"))).alias("n")).collect()
+    assert [r.n for r in out] == [measures(r.text)[4] for r in out]
