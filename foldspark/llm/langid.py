@@ -9,7 +9,8 @@ calibrated on documents that were not counted gives the score, and texts whose b
 cross-entropy exceeds nearly all of those documents' are flagged as rejected.
 
 The models are fitted on a bounded sample: at most about ``DOCS`` labelled documents a
-language, of ``DOC_CHARS`` characters at most, and as many again halved for calibration.
+language, of ``DOC_CHARS`` characters at most, and as many again halved for calibration;
+a language with fewer than ``FEW`` such documents also takes pieces of its longer ones.
 Every text is scored whole. Defined cases: a null text and one without letters give
 ``und`` and 0; ties go to the first language by name; without labels every text is ``und``.
 """
@@ -219,19 +220,51 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
+def _pieces(doc_chars: int):
+    """Map batches of (doc_id, lang, text) to pieces of whole lines; a line over the bound is divided."""
+
+    def run(batches):
+        for batch in batches:
+            for doc_id, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                out, held, size = [], [], 0
+                for line in text.split("\n"):
+                    for at in range(0, max(1, len(line)), doc_chars):
+                        part = line[at:at + doc_chars]
+                        if held and size + len(part) + 1 > doc_chars:
+                            out.append("\n".join(held))
+                            held, size = [], 0
+                        held.append(part)
+                        size += len(part) + 1
+                out.append("\n".join(held))
+                yield pa.record_batch([pa.array([doc_id] * len(out), pa.int64()), pa.array([lang] * len(out), pa.string()),
+                                       pa.array(out, pa.string()), pa.array(range(len(out)), pa.int32())],
+                                      ["doc_id", "lang", "text", "piece"])
+
+    return run
+
+
 def fit(labelled: DataFrame, docs: int = DOCS, doc_chars: int = DOC_CHARS) -> Models:
     """Models from (doc_id, text, lang) rows."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    short = F.char_length("text") <= doc_chars
+    per = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_if(short).alias("n")).collect()}
+    usable = known.where(short).select("doc_id", "text", "lang", F.lit(None).cast("int").alias("piece"))
+    scarce = [lang for lang, n in per.items() if n < FEW]
+    if scarce:                                              # these also learn from pieces of their long documents
+        pieces = known.where(F.col("lang").isin(scarce) & ~short).select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(
+            _pieces(doc_chars), "doc_id long, lang string, text string, piece int")
+        for r in pieces.groupBy("lang").agg(F.count("*").alias("n")).collect():
+            per[r["lang"]] += r["n"]
+        usable = usable.unionByName(pieces)
     if not per:
         return Models(pd.DataFrame({c: pd.Series(dtype=t) for c, t in zip(
             ("lang", "n", "gram", "context", "suffix", "times"), ("str", "int", "int64", "int64", "int64", "int64"))}), [])
     share = F.lit(0.0)
     for lang, n in per.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * docs / n))).otherwise(share)
-    draw = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = lambda salt: F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     few = [lang for lang, n in per.items() if n < FEW]      # all of these are counted, none calibrate
-    sample = usable.where(draw(1) < share).where(F.char_length("text") <= doc_chars).select(
+    sample = usable.where(draw(1) < share).select(
         "text", "lang", ((draw(2) < 2 / 3) | F.col("lang").isin(few)).alias("count"))
     counts = sample.where("count").select("text", "lang").mapInArrow(
         _count, "lang string, n int, gram long, context long, suffix long, times long").groupBy(

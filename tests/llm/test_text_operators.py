@@ -445,3 +445,20 @@ def test_equal_hash_bits_are_not_equal_windows(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = docs.select("text", quality.repeat_words(quality.word_array(quality.F.col("text"))).alias("n")).collect()
     assert [r.n for r in out] == [measures(r.text)[4] for r in out]
+
+
+def test_languages_of_long_documents_have_a_model(spark):
+    rng = random.Random(5)
+    words = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 6))) for _ in range(200)]
+             for x, a in (("aa", "abcde"), ("bb", "fghij"), ("cc", "klmno"), ("dd", "pqrst"))}
+    text = lambda x, n: " ".join(rng.choice(words[x]) + ("\n" if i % 9 == 8 else "") for i in range(n))
+    rows = [(i, text("aa", 50), "aa") for i in range(30)] + [(100 + i, text("bb", 900), "bb") for i in range(2)]
+    rows += [(200 + i, text("cc", 900), "cc") for i in range(40)] + [(300, text("cc", 50), "cc")]
+    rows += [(400, text("dd", 900).replace("\n", ""), "dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.fit(docs, doc_chars=1000)
+    assert models.languages == ["aa", "bb", "cc", "dd"]
+    assert models.predict([text(x, 40) for x in models.languages])[0] == models.languages
+    held = [len(p) for b in langid._pieces(100)([pa.record_batch([pa.array([1]), pa.array(["x"]), pa.array([rows[30][1] + "z" * 333])],
+                                                              ["a", "b", "c"])]) for p in b.column(2).to_pylist()]
+    assert max(held) <= 100 and sum(held) > 3000
