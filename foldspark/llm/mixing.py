@@ -9,6 +9,7 @@ inside a block after the last document that begins before it.
 
 Sources are rows, never columns. A source of any size is split into at most ``MAX_BLOCKS``
 blocks, so no task holds a source; the exponent comes from one row of per-source sums.
+Tokens are estimated from bytes unless a column of real counts is named.
 Defined cases: a null text has no tokens, and documents without tokens appear once in every
 full epoch; a null source is a source of its own; an empty table gives no rows; repeated
 rows are separate documents; extra columns pass through.
@@ -88,12 +89,13 @@ def quotas(sources: DataFrame, budget: int | None, target_entropy: float, max_re
 
 
 def draws(rows: DataFrame, budget: int | None = None, target_entropy: float = TARGET_ENTROPY,
-          max_repeats: float = MAX_REPEATS, seed: int = 0) -> DataFrame:
+          max_repeats: float = MAX_REPEATS, seed: int = 0, tokens: str = "tokens") -> DataFrame:
     """(row, doc_id, source, tokens, weight, quota, epoch, block, block_rank, turn) for every use of a document.
 
-    rows has (row, doc_id, source, tokens) and is read several times. Reading order: epoch,
-    block_rank, turn.
+    rows has (row, doc_id, source, tokens) and is read several times; ``tokens`` names its column
+    of counts. Reading order: epoch, block_rank, turn.
     """
+    rows = rows.select("row", "doc_id", "source", token_counts(tokens).alias("tokens"))
     sources = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     plan = cut(quotas(sources, budget, target_entropy, max_repeats))
     same = rows["source"].eqNullSafe(plan["source"])
@@ -122,20 +124,27 @@ def draws(rows: DataFrame, budget: int | None = None, target_entropy: float = TA
     return used.where(F.col("whole")).unionByName(edge).drop("left", "whole")
 
 
-def token_rows(docs: DataFrame) -> DataFrame:
-    """Narrow rows of docs, written once; ``row`` tells repeated rows apart."""
+def token_counts(tokens: str | None) -> Column:
+    """The column of real counts (NULL: none) where it is named, else the estimate from bytes."""
+    if tokens is None:
+        return estimated_tokens(F.col("text"))
+    return F.coalesce(F.col(tokens).cast("long"), F.lit(0).cast("long"))
+
+
+def token_rows(docs: DataFrame, tokens: str | None = None) -> DataFrame:
+    """Narrow rows of docs, written once; ``row`` tells repeated rows apart. ``tokens`` names a column of real counts."""
     return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                            F.col("source").cast("string").alias("source"),
-                           estimated_tokens(F.col("text")).alias("tokens")))
+                           token_counts(tokens).alias("tokens")))
 
 
 def mixed(docs: DataFrame, budget: int | None = None, target_entropy: float = TARGET_ENTROPY,
-          max_repeats: float = MAX_REPEATS, seed: int = 0) -> DataFrame:
-    """The rows of docs, each as often as its source's weight asks for."""
+          max_repeats: float = MAX_REPEATS, seed: int = 0, tokens: str | None = None) -> DataFrame:
+    """The rows of docs, each as often as its source's weight asks for; ``tokens`` names a column of real counts."""
     row, times = fresh(docs, "mx_row"), fresh(docs, "mx_times")
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     narrow = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                             F.col("source").cast("string").alias("source"), estimated_tokens(F.col("text")).alias("tokens"))
+                             F.col("source").cast("string").alias("source"), token_counts(tokens).alias("tokens"))
     uses = draws(narrow, budget, target_entropy, max_repeats, seed).groupBy(F.col("row").alias(row)).agg(
         F.count("*").cast("int").alias(times))
     repeated = numbered.join(uses, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))

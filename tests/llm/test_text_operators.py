@@ -462,3 +462,16 @@ def test_languages_of_long_documents_have_a_model(spark):
     held = [len(p) for b in langid._pieces(100)([pa.record_batch([pa.array([1]), pa.array(["x"]), pa.array([rows[30][1] + "z" * 333])],
                                                               ["a", "b", "c"])]) for p in b.column(2).to_pylist()]
     assert max(held) <= 100 and sum(held) > 3000
+
+
+def test_mixing_takes_real_token_counts(spark):
+    rows = [(i, "日本" * 30 if i % 2 else "word " * 36, ["wide", "plain"][i % 2 == 0], 60 if i % 2 else 30) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_ids int")
+    narrow = mixing.token_rows(docs, "n_ids")
+    want = {"wide": 60 * 200, "plain": 30 * 200}
+    assert {r[0]: r[1] for r in narrow.groupBy("source").sum("tokens").collect()} == want
+    uses = mixing.draws(narrow.withColumnRenamed("tokens", "real"), 9000, target_entropy=0.1, max_repeats=9.0, tokens="real").collect()
+    for s, n in want.items():
+        assert abs(next(r.quota for r in uses if r.source == s) - 9000 * n / 18000) <= 1
+    got = collections.Counter(r.source for r in mixing.mixed(docs, 9000, 0.1, 9.0, tokens="n_ids").collect())
+    assert got == {"wide": 100, "plain": 100}
