@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldspark.llm import bagminhash, langid, lines, mixing, multiindex, pieces, pii, quality, shards, sql, suffixes
+from foldspark.llm import (
+    bagminhash,
+    bytebpe,
+    langid,
+    lexical,
+    lines,
+    mixing,
+    multiindex,
+    pieces,
+    pii,
+    quality,
+    shards,
+    spelling,
+    sql,
+    suffixes,
+)
 from foldspark.plans.registry import query
 
 
@@ -63,3 +78,24 @@ def op9(t):
 @query("op10_bagminhash")
 def op10(t):
     return bagminhash.duplicate_classes(t.documents)
+
+
+@query("op11_permuterm_spelling", sql.SPELLING)
+def op11(t):
+    return spelling.spelling_variants(t.documents)
+
+
+@query("op12_lexical_search", sql.SEARCH)
+def op12(t):
+    return lexical.ranked(t.documents, t.benchmark)
+
+
+@query("op13_byte_bpe")
+def op13(t):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out, names = bytebpe.encoded(t.documents.select("doc_id", "text"), path, public_tokenizers.PATTERN, keep_text=False)
+    back, name = bytebpe.decoded(out, names["ids"], path)
+    return back.select("doc_id", F.col(names["n_tokens"]).alias("n_tokens"), F.sha2(names["ids"], 256).alias("ids_sha256"),
+                       F.sha2(name, 256).alias("decoded_sha256"))
