@@ -3,8 +3,8 @@
 A cross-validated path asks for folds x penalties models of the same rows.
 Each Newton step sends all current weights to the tasks, which return the sums
 of gradients and Hessians of all models at once; a path of fifty models costs
-a handful of passes. L1 and elastic-net penalties use the iterative solver of
-Spark ML, as do very wide problems.
+a handful of passes. L1 and elastic-net penalties and wide problems go through
+the lock-step solver of ``sparse``, and so do the fits that Newton steps do not end.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sparse
+
 # Default inverse penalties of the cross-validated models.
 CS = np.logspace(-4, 4, num=10)
 MAX_NEWTON = 600          # weights per model (classes x width)
@@ -62,7 +62,7 @@ def newton_fits(df: DataFrame, features: Sequence[str], tasks: Sequence[Task], n
     outs = 1 if n_classes == 2 else n_classes
     width = len(features) + 1
     if outs * width > MAX_NEWTON:
-        raise ValueError("too wide for Newton steps; use spark_fit")
+        raise ValueError("too wide for Newton steps; LinearCV takes the lock-step solver")
     rows = _rows(df, features, y, fold).persist()
     ridge = np.ones(width)
     ridge[-1] = 0.0
@@ -130,6 +130,12 @@ def newton_fits(df: DataFrame, features: Sequence[str], tasks: Sequence[Task], n
         if not live:
             break
     rows.unpersist()
+    if live:                                                # not ended in so many steps: go on with the other solver
+        n = {t: df.filter(F.col(fold) != t.without).count() if fold else df.count() for t in live}
+        fits = {t: sparse.Fit(t.without, 0.0, 0.0 if np.isinf(t.c) else 1.0 / (t.c * n[t])) for t in live}
+        with sparse.Rows(df, features, y, fold=fold) as packed:
+            solved = sparse.solve(packed, list(fits.values()), "log", outs, start={fits[t]: weights[t] for t in live})
+        weights |= {t: solved[fits[t]].weights for t in live}
     return weights
 
 
@@ -163,26 +169,3 @@ def cv_path(df: DataFrame, features: Sequence[str], n_classes: int, cs: Sequence
     losses = held_out_losses(df, features, fits, y, fold)
     mean = losses.groupby("c", as_index=False)["loss"].mean().sort_values("c")
     return mean, fits
-
-
-def spark_fit(df: DataFrame, features: Sequence[str], c: float, n_classes: int, l1_ratio: float = 0.0,
-              y: str = "y", max_iter: int = 200) -> np.ndarray:
-    """Fit with Spark ML; returns weights in the layout of ``newton_fits``."""
-    vec = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        df.select(*features, F.col(y).cast("double").alias("_y"))).select("_x", "_y").persist()
-    n = vec.count()
-    model = LogisticRegression(
-        featuresCol="_x", labelCol="_y", regParam=0.0 if np.isinf(c) else 1.0 / (c * n), elasticNetParam=l1_ratio,
-        standardization=False, maxIter=max_iter, tol=1e-8,
-        family="binomial" if n_classes == 2 else "multinomial").fit(vec)
-    vec.unpersist()
-    return np.column_stack([model.coefficientMatrix.toArray(), model.interceptVector.toArray()])
-
-
-def ovr_fits(df: DataFrame, features: Sequence[str], c: float, n_classes: int, y: str = "y") -> np.ndarray:
-    """One binary fit per class against the rest."""
-    out = []
-    for k in range(n_classes):
-        one = df.withColumn("_k", (F.col(y) == k).cast("int"))
-        out.append(newton_fits(one, features, [Task(NO_FOLD, c)], 2, "_k")[Task(NO_FOLD, c)][0])
-    return np.array(out)

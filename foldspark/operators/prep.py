@@ -29,6 +29,9 @@ MAX_KNOTS = 1000
 MIN_FREQUENCY = 10
 TARGET_FOLDS = 25
 DUMMY = "__dummy__"
+#: One-hot positions of a feature that become dense columns; a wider one goes into the list of positions HOT.
+DENSE_WIDTH = 64
+HOT = "__hot__"
 
 
 # --------------------------------------------------------------------------
@@ -242,7 +245,7 @@ def one_hot_index(df: DataFrame, vocab: DataFrame, col: str) -> DataFrame:
     """
     mine = vocab.filter(F.col("feature") == col)
     rare = mine.filter("not is_frequent").agg(F.max("idx").alias("i")).first()["i"]
-    table = mine.select(F.col("category").alias("_cat"), F.col("idx").alias("_idx"))
+    table = mine.filter("is_frequent").select(F.col("category").alias("_cat"), F.col("idx").alias("_idx"))
     joined = df.join(ranks.fit_small(table), F.col(col).eqNullSafe(F.col("_cat")), "left")
     idx = F.coalesce("_idx", F.lit(rare).cast("int"))
     return joined.withColumn(f"{col}__idx", F.when(idx >= 0, idx)).drop("_cat", "_idx")
@@ -346,20 +349,35 @@ def target_folds(train: DataFrame, label: str | None = None, seed: int = 0, k: i
 
 @dataclass
 class FeatureSpace:
-    """Fitted transforms of a dataset; ``apply`` yields ``features`` as numeric columns."""
+    """Fitted transforms of a dataset; ``apply`` yields ``features`` as numeric columns.
+
+    One-hot features wider than ``DENSE_WIDTH`` share one column ``hot`` instead, the list
+    of a row's positions below ``hot_width`` that are one. Their vocabularies stay tables.
+    """
 
     numeric: dict[str, NumericFit]
     vocab: dict[str, list[tuple]]
     target: dict[str, list[TargetFit]]
     order: list[str]
     features: list[str] = field(default_factory=list)
+    wide: DataFrame | None = None               # vocabularies of the wide features
+    offsets: dict[str, int] = field(default_factory=dict)
+    hot_width: int = 0
+
+    @property
+    def hot(self) -> str | None:
+        return HOT if self.offsets else None
 
     def apply(self, df: DataFrame, keep: Sequence[str], fold: str | None = None) -> DataFrame:
         for c, fits in self.target.items():
             for j, fit in enumerate(fits):
                 df = apply_target(df, fit, f"{c}__te{j}", fold)
+        for c in self.offsets:
+            df = one_hot_index(df, self.wide, c)
         cols: list[Column] = []
         for c in self.order:
+            if c in self.offsets:
+                continue
             if c in self.numeric:
                 cols += self.numeric[c].columns(c)
             elif c in self.vocab:
@@ -367,10 +385,20 @@ class FeatureSpace:
             else:
                 cols += [F.col(f"{c}__te{j}") for j in range(len(self.target[c]))]
         cols.append(F.lit(0.0).alias(DUMMY))
+        if self.offsets:
+            places = F.array(*[F.col(f"{c}__idx") + at for c, at in self.offsets.items()])
+            cols.append(F.filter(places, lambda i: i.isNotNull()).alias(HOT))
         out = df.select(*keep, *cols)
-        self.features = [c for c in out.columns if c not in keep]
+        self.features = [c for c in out.columns if c not in keep and c != HOT]
         return out
 
+    def hot_names(self) -> DataFrame:
+        """(position, feature, category) of the wide features; a NULL category with ``rare`` stands for all rare ones."""
+        start = F.coalesce(*[F.when(F.col("feature") == c, at) for c, at in self.offsets.items()])
+        named = self.wide.filter(F.col("feature").isin(list(self.offsets)) & (F.col("idx") >= 0)).withColumn("position", start + F.col("idx"))
+        return named.filter("is_frequent").select("position", "feature", "category", F.lit(False).alias("rare")).unionByName(
+            named.filter("not is_frequent").select("position", "feature", F.lit(None).cast("string").alias("category"), F.lit(True).alias("rare")).distinct())
+
 
 def one_hot_columns(col: str, vocab: Sequence[tuple]) -> list[Column]:
     """0/1 columns of a feature from its (category, is_frequent, idx, width) rows."""
@@ -393,7 +421,7 @@ def one_hot_columns(col: str, vocab: Sequence[tuple]) -> list[Column]:
 
 
 def fit_features(train: DataFrame, kinds: Mapping[str, str], y: str = "y", n_classes: int | None = None,
-                 max_one_hot: int = 5_000) -> FeatureSpace:
+                 dense_width: int = DENSE_WIDTH, min_frequency: int = MIN_FREQUENCY) -> FeatureSpace:
     """Fit a transform per column; ``train`` needs ``te_fold`` when a column is target encoded.
 
     ``n_classes`` (> 2) gives one encoding per class of the coded label.
@@ -401,15 +429,20 @@ def fit_features(train: DataFrame, kinds: Mapping[str, str], y: str = "y", n_cla
     numeric = fit_numeric(train, {c: k for c, k in kinds.items() if k in NUM_KINDS})
     hot = [c for c, k in kinds.items() if k == "one_hot_encoding"]
     vocab: dict[str, list[tuple]] = {c: [] for c in hot}
+    wide, offsets, hot_width = None, {}, 0
     if hot:
-        table = ranks.local_table(one_hot_vocab(train, hot), 1_000_000)
-        if table is None:
-            raise ValueError("one-hot vocabularies exceed a million categories; use target encoding")
-        for r in table.collect():
+        table = cut(one_hot_vocab(train, hot, min_frequency))
+        widths = {r["feature"]: r["width"] for r in table.groupBy("feature").agg(F.max("width").alias("width")).collect()}
+        for c in hot:
+            if widths.get(c, 0) > dense_width:
+                offsets[c], hot_width, wide = hot_width, hot_width + widths[c], table
+        # rare categories share a position, so one row of them says all
+        rare = table.filter("not is_frequent").groupBy("feature", "idx", "width").agg(F.lit(None).cast("string").alias("category"))
+        small = table.filter("is_frequent").select("feature", "category", "is_frequent", "idx", "width").unionByName(
+            rare.select("feature", "category", F.lit(False).alias("is_frequent"), "idx", "width"))
+        for r in small.filter(~F.col("feature").isin(list(offsets))).collect():
             vocab[r["feature"]].append((r["category"], r["is_frequent"], r["idx"], r["width"]))
-        wide = [c for c, v in vocab.items() if v and v[0][3] > max_one_hot]
-        if wide:
-            raise ValueError(f"one-hot width of {wide} exceeds {max_one_hot}; use target encoding")
+        vocab = {c: sorted(v, key=lambda v: v[2]) for c, v in vocab.items()}
     te = [c for c, k in kinds.items() if k == "target_encoding"]
     target: dict[str, list[TargetFit]] = {c: [] for c in te}
     if te:
@@ -422,7 +455,7 @@ def fit_features(train: DataFrame, kinds: Mapping[str, str], y: str = "y", n_cla
     unknown = set(kinds.values()) - set(NUM_KINDS) - set(CAT_KINDS)
     if unknown:
         raise ValueError(f"unknown transforms {unknown}")
-    return FeatureSpace(numeric, vocab, target, list(kinds))
+    return FeatureSpace(numeric, vocab, target, list(kinds), wide=wide, offsets=offsets, hot_width=hot_width)
 
 
 # --------------------------------------------------------------------------

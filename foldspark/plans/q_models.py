@@ -203,9 +203,7 @@ def _boost_rows(t, view, labels=None):
     df = view(t)
     if labels:
         df = df.withColumn("y", F.coalesce(*[F.when(F.col("y") == c, F.lit(i)) for i, c in enumerate(labels)]))
-    space = P.fit_features(df.filter(_TRAIN), {**{c: "identity" for c in V.NUM}, **{c: "one_hot_encoding" for c in V.CAT}})
-    rows = space.apply(df, ["row_id", "y", "fold"])
-    return rows, space.features
+    return df.select("row_id", "y", "fold", *V.NUM, *V.CAT), [*V.NUM, *V.CAT]
 
 
 def _boosting(task, n_classes=None):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
-from ..operators import boosting, constant, metrics, prep, ranks, screen
+from ..operators import boosting, constant, curves, metrics, prep, ranks, screen
 from ..operators import scores as S
 from ..operators import splits as K
 from ..operators.linear import LinearCV
@@ -112,7 +112,7 @@ class LinearRecipe(Recipe):
             out.update({c: self.cat_transform for c in data.cat_features})
         return out
 
-    def _space(self, data: Dataset, rows: DataFrame, is_train, kinds: Mapping[str, str]) -> tuple[DataFrame, list[str]]:
+    def _space(self, data: Dataset, rows: DataFrame, is_train, kinds: Mapping[str, str]) -> tuple[DataFrame, prep.FeatureSpace]:
         """Apply transforms fitted on the training rows to all rows."""
         fold = None
         if "target_encoding" in kinds.values():
@@ -123,7 +123,7 @@ class LinearRecipe(Recipe):
         n = data.spec.n_classes if data.spec.task == "multiclass" else None
         space = prep.fit_features(rows.filter(is_train), kinds, "y", n)
         keep = [c for c in ("row_id", "y", "part", "cv_fold", "fit_fold") if c in rows.columns]
-        return space.apply(rows, keep, fold), space.features
+        return space.apply(rows, keep, fold), space
 
     def run(self, data, prev):
         # the fits below read the rows many times: write the coded, folded table once
@@ -138,19 +138,19 @@ class LinearRecipe(Recipe):
             folds = K.stratified_kfold(train.select("row_id", "y"), CV, "y", None, "fit_fold").drop("y")
         rows = data.frame.join(folds, "row_id", "left")
         kinds = self.kinds(data, train, prev)
-        ready, features = self._space(data, rows, is_train, kinds)
+        ready, space = self._space(data, rows, is_train, kinds)
         model = LinearCV(task, self.reg_type, y_transform=self.y_transform, n_classes=n, n_folds=CV, fold="fit_fold")
-        model.fit(ready.filter(is_train), features)
+        model.fit(ready.filter(is_train), space.features, space.hot, space.hot_width)
         preds = model.predict(ready).select("row_id", F.col("part").alias("subset"), "y", "pred")
 
         out_of_fold = None
         cv_rows = cut(with_cv(data))
         for f in range(CV):
             outside = F.col("cv_fold") != f
-            part, cols = self._space(data, cv_rows, outside, kinds)
+            part, own = self._space(data, cv_rows, outside, kinds)
             one = LinearCV(task, self.reg_type, reg_coefs=[model.coef], y_transform=self.y_transform, n_classes=n,
                            n_folds=CV, fold="cv_fold", l1_ratio=model.best_l1_ratio or 0.5)
-            one.fit_fixed(part.filter(outside), cols, model.coef, model.best_l1_ratio)
+            one.fit_fixed(part.filter(outside), own.features, model.coef, model.best_l1_ratio, own.hot, own.hot_width)
             held = one.predict(part.filter(F.col("cv_fold") == f)).select("row_id", "y", "pred")
             out_of_fold = held if out_of_fold is None else out_of_fold.unionByName(held)
         scores = self.scoring(preds, data, ["train", "val", "test"]).unionByName(
@@ -272,9 +272,9 @@ class MulticlassFeature(LinearRecipe):
         out, rows = None, with_cv(data)
         for f in range(CV):
             outside = F.col("cv_fold") != f
-            part, cols = self._space(data, rows, outside, {self.only: self.num_transform})
+            part, own = self._space(data, rows, outside, {self.only: self.num_transform})
             one = LinearCV("multiclass", n_classes=data.spec.n_classes, fold="cv_fold")
-            one.fit_fixed(part.filter(outside), cols, float("inf"), None)
+            one.fit_fixed(part.filter(outside), own.features, float("inf"), None)
             held = one.predict(part.filter(F.col("cv_fold") == f)).select("row_id", "y", "pred")
             out = held if out is None else out.unionByName(held)
         return out
@@ -346,28 +346,44 @@ class BoostingRecipe(Recipe):
     def splits(self):
         return {f"cv5_seed0_fold{i}": [] for i in range(5)}
 
-    def _fit(self, data: Dataset, init: DataFrame | None):
-        data = data.fill_missing_categorical().coded()
-        kinds = {**{c: "identity" for c in data.num_features}, **{c: "one_hot_encoding" for c in data.cat_features}}
-        space = prep.fit_features(data.subset("train"), kinds)
-        rows = space.apply(data.frame, ["row_id", "y", "part"])
-        if init is not None:
-            rows = rows.join(init.withColumnRenamed("pred", "init"), "row_id")
-        model = boosting.Boosting(data.spec.task, data.spec.n_classes, depth=self.depth, learning_rate=self.learning_rate,
-                                  max_rounds=self.max_rounds, early_stopping_rounds=self.patience, use_best=False)
-        start = None if init is None else "init"
-        model.fit(rows.filter("part = 'train'"), space.features, rows.filter("part = 'val'"), init=start)
-        best, stopped = model.recalculated_best(rows, self.recut)
-        preds = model.predict(rows, end=best + 1, init=start).select("row_id", F.col("part").alias("subset"), "y", "pred")
-        curve = rows.sparkSession.createDataFrame(
-            [(s, v, best, bool(stopped)) for s, v in model.curve], "step int, score double, best_iter int, stopped boolean")
-        return {"scores": self.scoring(preds, data, ["val", "test"]), "predictions": preds.select("row_id", "pred"), "curve": curve}
+    def start_of(self, data: Dataset, prev) -> DataFrame | None:
+        """Start predictions (row_id, pred), if any."""
+        return None
+
+    def run(self, data, prev):
+        return self.run_many([(data, prev)])[0]
+
+    def run_many(self, tasks: Sequence[tuple[Dataset, Mapping]]) -> list[dict[str, DataFrame]]:
+        """Results of several tasks on datasets of one shape (folds, splits): one lock-step fit, one prediction, one scoring."""
+        datasets = [d.fill_missing_categorical().coded() for d, _ in tasks]
+        starts = [self.start_of(d, prev) for d, (_, prev) in zip(datasets, tasks)]
+        features, spec = datasets[0].spec.features, datasets[0].spec
+        rows = []
+        for i, (d, start) in enumerate(zip(datasets, starts)):
+            one = d.frame.select(F.lit(i).alias("fit"), "row_id", "y", F.col("part").alias("role"), *[F.col(f"`{c}`") for c in features])
+            rows.append(one if start is None else one.join(start.select("row_id", F.col("pred").alias("init")), "row_id", "left"))
+        rows, init = cut(S.concat(*rows)), None if starts[0] is None else "init"
+        like = boosting.Boosting(spec.task, spec.n_classes, depth=self.depth, learning_rate=self.learning_rate,
+                                 max_rounds=self.max_rounds, early_stopping_rounds=self.patience, use_best=False)
+        models = boosting.fit_many(like, rows, len(tasks), features, init)
+        session = rows.sparkSession
+        curves_of = session.createDataFrame([(i, s, v) for i, m in enumerate(models) for s, v in m.curve], "curve_id int, step int, score double")
+        best = {r["curve_id"]: (r["best_iter"], bool(r["stopped"])) for r in curves.best_iteration(curves_of, self.recut).collect()}
+        kept = [best[i][0] + 1 for i in range(len(tasks))]
+        preds = cut(boosting.predict_many(models, rows, [(0, n) for n in kept], init, "fit").select(
+            "fit", "row_id", F.col("role").alias("subset"), "y", "pred"), by="fit")
+        scores = cut(self.scoring(preds, datasets[0], ["val", "test"], extra=["fit"]), by="fit")
+        out = []
+        for i, m in enumerate(models):
+            curve = session.createDataFrame([(s, v, *best[i]) for s, v in m.curve], "step int, score double, best_iter int, stopped boolean")
+            out.append({"scores": scores.filter(F.col("fit") == i).drop("fit"),
+                        "predictions": preds.filter(F.col("fit") == i).select("row_id", "pred"), "curve": curve})
+        return out
 
 
 @recipe
 class Boosting_baseline(BoostingRecipe):
-    def run(self, data, prev):
-        return self._fit(data, None)
+    pass
 
 
 @dataclass(frozen=True)
@@ -404,8 +420,8 @@ class Boosting_init(BoostingRecipe):
         own = super().splits()
         return {here: [self.start.key(here)] for here in own}
 
-    def run(self, data, prev):
-        return self._fit(data, prev[self.start.key(data.metadata["split"])][self.start.stored])
+    def start_of(self, data, prev):
+        return prev[self.start.key(data.metadata["split"])][self.start.stored]
 
 
 # --------------------------------------------------------------------------
@@ -430,14 +446,48 @@ def run_task(store: Store, key: tuple[str, int, str, str], scoring: Scoring, ove
     return took
 
 
+def run_together(store: Store, keys: Sequence[tuple[str, int, str, str]], scoring: Scoring,
+                 overrides: Mapping[str, object] | None = None) -> float:
+    """Run and store tasks of one recipe and dataset that share their jobs; returns the seconds of each."""
+    one = make(keys[0][2])
+    one.scoring = scoring
+    for k, v in (overrides or {}).items():
+        if hasattr(one, k):
+            setattr(one, k, v)
+    needs, wanted = one.splits(), one.needed_fields()
+
+    def load(key):
+        dataset, fold, _, split = key
+        data = store.load_dataset(dataset, fold).split(K.Splitter.from_string(split))
+        return data, {r: store.load_result((dataset, fold, *r), wanted) for r in needs[split]}
+
+    with ThreadPoolExecutor(max_workers=8) as pool:        # small jobs of the splits' boundaries and the ledger
+        tasks = list(pool.map(load, keys))
+    began = time.monotonic()
+    fields = one.run_many(tasks)
+    took = (time.monotonic() - began) / len(keys)
+    store.save_results(list(zip(keys, fields)), took)
+    return took
+
+
+def batches(tasks: Sequence[tuple[str, int, str, str]]) -> list[list[tuple[str, int, str, str]]]:
+    """Tasks of one recipe and dataset together where the recipe can share jobs, else one by one."""
+    out: dict[object, list] = {}
+    for key in tasks:
+        shared = hasattr(make(key[2]), "run_many")
+        out.setdefault((key[0], key[2]) if shared else key, []).append(key)
+    return list(out.values())
+
+
 def run_grid(store: Store, datasets: DataFrame, folds: Sequence[int], names: Sequence[str], splits: Sequence[str] | None = None,
              scoring: Scoring | None = None, order: str = "dataset", try_once: bool = False, parallel: int = 1,
              overrides: Mapping[str, object] | None = None, skip_failed: bool = True) -> DataFrame:
     """Run everything in the grid that is not stored yet, requirements first.
 
     The grid, the done check and the requirement check are joins on the
-    ledger; each stage runs the tasks that became ready. Tasks share the
-    session through a few driver threads, and Spark schedules their jobs.
+    ledger; each stage runs the tasks that became ready. Boosting tasks of one
+    recipe and dataset are one lock-step fit; others share the session through
+    a few driver threads, and Spark schedules their jobs.
     Returns (dataset, fold, pipeline, split, status, seconds).
     """
     needs: dict[Req, list[Req]] = {}
@@ -458,17 +508,19 @@ def run_grid(store: Store, datasets: DataFrame, folds: Sequence[int], names: Seq
         if not tasks:
             break
 
-        def attempt(key):
+        def attempt(keys):
             try:
-                return key, ("done", run_task(store, key, scoring or Scoring(), overrides))
+                if len(keys) > 1:
+                    return keys, ("done", run_together(store, keys, scoring or Scoring(), overrides))
+                return keys, ("done", run_task(store, keys[0], scoring or Scoring(), overrides))
             except Exception as e:
                 if not skip_failed:
                     raise
-                return key, (f"failed: {type(e).__name__}: {str(e)[:200]}", None)
+                return keys, (f"failed: {type(e).__name__}: {str(e)[:200]}", None)
 
         with ThreadPoolExecutor(max_workers=parallel) as pool:
-            for key, result in pool.map(attempt, tasks):
-                status[key] = result
+            for keys, result in pool.map(attempt, batches(tasks)):
+                status.update(dict.fromkeys(keys, result))
     blocked = L.pending(work, store.runs().select(*L.KEY)).collect()
     for r in blocked:
         status.setdefault(tuple(r[c] for c in L.KEY), ("requirement missing", None))

@@ -47,20 +47,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it back.
 
     Unlike a cached block the table survives lost executors, and unlike a
     checkpointed RDD it keeps its size statistics and column pruning.
     """
-    return kept_table(df)[0]
+    return kept_table(df, by)[0]
 
 
-def kept_table(df: DataFrame) -> tuple[DataFrame, str]:
-    """``cut`` that also gives the table's place, for ``remove_table`` once a later one replaces it."""
+def kept_table(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
+    """``cut`` that also gives the table's place, for ``remove_table`` once a later one replaces it.
+
+    ``by`` names a column of few values whose filters shall read only their own files.
+    """
     path = scratch(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns)), path
 
 
 def remove_table(spark: SparkSession, path: str) -> None:

@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from foldspark.dataset import Dataset, Predictions, Spec
@@ -304,7 +306,10 @@ def test_newton_is_stationary_and_agrees_with_spark_ml(table):
     for col, n in (("z", 2), ("k", 3)):
         task = logistic.Task(logistic.NO_FOLD, 0.5)
         w = logistic.newton_fits(df, COLS, [task], n, col)[task]
-        other = logistic.spark_fit(df, COLS, 0.5, n, y=col)
+        vec = VectorAssembler(inputCols=COLS, outputCol="v").transform(df.withColumn(col, df[col].cast("double")))
+        ml = LogisticRegression(featuresCol="v", labelCol=col, regParam=1 / (0.5 * df.count()), standardization=False, maxIter=200, tol=1e-8,
+                                family="binomial" if n == 2 else "multinomial").fit(vec)
+        other = np.column_stack([ml.coefficientMatrix.toArray(), ml.interceptVector.toArray()])
         assert np.abs((w - w.mean(0))[:, :4] - (other - other.mean(0))[:, :4]).max() < 1e-3 if n > 2 else np.abs(w - other).max() < 1e-3
 
 

@@ -86,55 +86,3 @@ def test_empty_feature_set_gives_no_ranking(spark):
     one.scoring = SCORING
     preds = one.run(bare, {})["predictions"].join(bare.coded().frame.select("row_id", "y"), "row_id").withColumn("g", F.lit(1))
     assert score_groups(preds, ["g"], ["roc_auc"], 2).first()["score"] == 0.5
-
-
-def test_boosting_queries_do_the_whole_job(spark, sf, monkeypatch):
-    """All splits and folds, with the recipe's rounds, patience, re-cut and depth."""
-    from foldspark.operators import boosting
-    from foldspark.plans import load_all
-    from foldspark.plans.registry import QUERIES
-
-    load_all()
-    runs, fits = [], []
-
-    def run(self, data, init):
-        runs.append((self.max_rounds, self.patience, self.recut, self.depth, self.learning_rate, self.scoring.n_bootstraps,
-                     data.metadata["split"]))
-        preds = data.frame.select("row_id", F.lit(0.0).alias("pred"))
-        return {"scores": spark.createDataFrame([("val", 1.0)], "subset string, score double"), "predictions": preds}
-
-    def fit(self, train, features, val=None, init=None):
-        fits.append((self.max_rounds, self.early_stopping_rounds, self.depth, self.learning_rate))
-        self.features, self.has_init, self.base = list(features), init is not None, [0.0] * self.outputs
-        return self
-
-    own = C.BoostingRecipe
-    splits = [f"cv5_seed0_fold{i}" for i in range(5)]
-    want = [(100_000, 500, 50, 6, 0.1, 50, s) for s in splits]
-    assert (own.max_rounds, own.patience, own.recut, own.depth, own.learning_rate) == want[0][:5]
-    monkeypatch.setattr(own, "_fit", run)
-    for name in ("run_boosting", "run_boosting_init"):
-        runs.clear()
-        assert {r.split for r in QUERIES[name](spark, sf).select("split").distinct().collect()} == set(splits)
-        assert runs == want
-    tasks = []
-    monkeypatch.setattr(C, "run_task", lambda store, key, scoring, overrides: tasks.append((key[1:], scoring.n_bootstraps, overrides)))
-    QUERIES["run_grid"](spark, sf)
-    assert {k for k, *_ in tasks} >= {(f, "ConstantPredictor", "none") for f in range(10)}
-    assert all(n == 50 and not o for _, n, o in tasks)
-    monkeypatch.setattr(boosting.Boosting, "fit", fit)
-    for name in ("boosting_fit", "boosting_with_init"):
-        QUERIES[name](spark, sf)
-    assert fits == [(100_000, 500, 6, 0.1)] * 2
-
-
-def test_predictions_of_many_rounds_go_in_steps(spark):
-    from foldspark.operators.boosting import Boosting
-
-    rows = spark.range(60).selectExpr("id AS row_id", "id % 7 AS a", "CAST(id % 7 > 3 AS int) AS y")
-    model = Boosting("binary", depth=2, max_rounds=5).fit(rows, ["a"])
-    got = []
-    for every in (50, 2):
-        model.predict_every = every
-        got.append(sorted(map(tuple, model.predict(rows).collect())))
-    assert got[0] == got[1] and len({r[-1] for r in got[0]}) > 1
