@@ -7,8 +7,9 @@ switches off the right token's leaf and renews the leaves of the two live neighb
 on one path to the root. A match of n bytes takes n log n steps, however long it is.
 
 Each distinct match is merged once per worker (a bounded cache of short matches that starts
-anew when full; longer ones are merged each time). Texts stay whole; a batch is cut into
-slices of bounded bytes between texts. Executors get the vocabulary by broadcast (one file,
+anew when full; longer ones are merged each time). The new short matches of a slice are
+merged side by side: their trees are rows of one table, and every step does each row's next
+merge. Texts stay whole; a batch is cut into slices of bounded bytes between texts. Executors get the vocabulary by broadcast (one file,
 under FILE_LIMIT); nothing is shuffled, so a lost executor repeats only its own tasks.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; other columns pass,
@@ -35,8 +36,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FILE_LIMIT = 64 << 20
 #: Fixed value: the pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Matches kept in a worker's cache, the characters of the longest one kept, bytes of a slice.
-KEPT, KEPT_CHARS, SLICE = 300_000, 48, 8 << 20
+#: Matches kept in a worker's cache, the bytes of the longest one kept, rows of a table of
+#: trees, bytes of a slice.
+KEPT, KEPT_BYTES, TREES, SLICE = 500_000, 64, 4096, 4 << 20
 
 
 class Merges:
@@ -52,6 +54,11 @@ class Merges:
             spelled[rank] = token
         self.spelled, self.top = pa.array(spelled, pa.binary()), top
         self.cache: dict[str, bytes] = {}
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)])
+        # every way to join two tokens to a third: sorted keys, and the third's rank
+        joins = [(self.ranks[a] << 32 | self.ranks[b], rank) for token, rank in self.ranks.items() for a, b in (
+            (token[:i], token[i:]) for i in range(1, len(token))) if a in self.ranks and b in self.ranks]
+        self.keys, self.joined = np.array(sorted(joins), np.int64).reshape(-1, 2).T
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one match."""
@@ -104,19 +111,92 @@ class Merges:
             at = after[at]
         return out
 
-    def encode(self, text: str | None, matches) -> bytes:
-        """The ids of a whole text, four little-endian bytes each."""
-        cache, out = self.cache, []
-        for x in matches(text or ""):
-            ids = cache.get(x)
-            if ids is None:
-                ids = np.array(self.merge(x.encode()), "<u4").tobytes()
-                if len(x) <= KEPT_CHARS:
-                    if len(cache) >= KEPT:
-                        cache.clear()
-                    cache[x] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray, none: int) -> np.ndarray:
+        """The ranks of pairs of tokens, ``none`` where two tokens do not join."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.joined[at], none)
+
+    def merge_rows(self, pieces: list[bytes], half: int) -> list[bytes]:
+        """Packed ids of matches of at most ``half`` bytes; row r of the table is the tree of match r."""
+        n, bits, top = len(pieces), half.bit_length() - 1, self.top + 1
+        size = np.array([len(p) for p in pieces])
+        token = self.bytes[np.frombuffer(b"".join(p.ljust(half, b"\0") for p in pieces), np.uint8).reshape(n, half)]
+        place, row = np.arange(half), np.arange(n)
+        live = place < size[:, None]
+        after, before = np.tile(place + 1, (n, 1)), np.tile(np.append(place, half) - 1, (n, 1))
+        none = top << bits
+        tree = np.full((n, 2 * half), none, np.int64)
+        ranks = self._ranks_of(token[:, :-1], token[:, 1:], top)
+        tree[:, half:-1] = np.where(live[:, 1:] & (ranks < top), ranks << bits | place[:-1], none)
+        at = half
+        while at > 1:
+            tree[:, at // 2:at] = np.minimum(tree[:, at:2 * at:2], tree[:, at + 1:2 * at:2])
+            at //= 2
+
+        def renew(rows, leaf, key):
+            at = half + leaf
+            tree[rows, at] = key
+            for _ in range(bits):
+                key = np.minimum(key, tree[rows, at ^ 1])
+                at >>= 1
+                tree[rows, at] = key
+
+        while True:
+            root = tree[row, 1]
+            row = row[root < none]
+            if not len(row):
+                break
+            root = root[root < none]
+            i, rank = root & (half - 1), root >> bits
+            gone = after[row, i]
+            end = after[row, gone]
+            after[row, i], before[row, end], token[row, i], live[row, gone] = end, i, rank, False
+            renew(row, gone, none)
+            ends = end >= size[row]
+            pair = self._ranks_of(rank, token[row, np.where(ends, 0, end)], top)
+            renew(row, i, np.where(ends | (pair == top), none, pair << bits | i))
+            inner = np.flatnonzero(i > 0)
+            rows, first = row[inner], before[row[inner], i[inner]]
+            pair = self._ranks_of(token[rows, first], rank[inner], top)
+            renew(rows, first, np.where(pair == top, none, pair << bits | first))
+        ids, ends = token[live].astype("<u4").tobytes(), np.cumsum(live.sum(axis=1)) * 4
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many matches."""
+        out: list[bytes] = [b""] * len(pieces)
+        groups: dict[int, list[int]] = {}
+        for k, p in enumerate(pieces):
+            whole = self.ranks.get(p)
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+            elif len(p) > KEPT_BYTES:
+                out[k] = np.array(self.merge(p), "<u4").tobytes()
+            else:
+                groups.setdefault(1 << (len(p) - 1).bit_length(), []).append(k)
+        for half, at in groups.items():
+            for a in range(0, len(at), TREES):
+                part = at[a:a + TREES]
+                for k, ids in zip(part, self.merge_rows([pieces[k] for k in part], half)):
+                    out[k] = ids
+        return out
+
+    def encode(self, texts: list[str | None], matches) -> list[bytes]:
+        """The ids of whole texts, four little-endian bytes each."""
+        cache, split = self.cache, [matches(t or "") for t in texts]
+        new = list({x for found in split for x in found} - cache.keys())
+        made = dict(zip(new, self.merge_many([x.encode() for x in new])))
+        if len(cache) + len(made) > KEPT:
+            cache.clear()
+            new = list({x for found in split for x in found} - made.keys())
+            made |= zip(new, self.merge_many([x.encode() for x in new]))
+        cache |= made
+        out = [b"".join(map(cache.__getitem__, found)) for found in split]
+        for x in made:
+            if len(x) > KEPT_BYTES:
+                del cache[x]
+        return out
 
     def decode(self, runs: list[bytes | None]) -> list[bytes]:
         """The bytes of each run of packed ids."""
@@ -169,7 +249,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, tex
         machine, matches = compiled(data.value), regex.compile(pattern).findall
         for whole in batches:
             for batch in slices(whole, at):
-                ids = [machine.encode(x, matches) for x in batch.column(at).to_pylist()]
+                ids = machine.encode(batch.column(at).to_pylist(), matches)
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.record_batch([*(batch.column(i) for i in through), pa.array(ids, pa.binary()), counts], schema.names)
 
