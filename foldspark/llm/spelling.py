@@ -116,7 +116,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def variants(words: DataFrame) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of every row of words (word, n; one row per word)."""
-    words = words.select("word", "n").where("word is not null")
+    words = cut(words.select("word", "n").where("word is not null"))
     near = cut(neighbours(words))
     better = F.col("best_n") >= ADVANTAGE * F.col("n")
     formed = cut(words.join(near, "word", "left").select(
@@ -128,4 +128,4 @@ def variants(words: DataFrame) -> DataFrame:
 
 def spelling_variants(docs: DataFrame) -> DataFrame:
     """Variants of all words of the documents."""
-    return variants(cut(word_counts(docs)))
+    return variants(word_counts(docs))
