@@ -87,8 +87,11 @@ class Dataset:
             return self
         label = None if self.spec.task == "regression" else "y"
         source = self.subset(splitter.from_subset)
-        given = splitter.assign(source.select("row_id", *([label] if label else [])), label)
-        moved = self.frame.join(given.withColumnRenamed("subset", "_new"), "row_id", "left")
+        ids = source.select("row_id", *([label] if label else []))
+        if splitter.ensure_all_classes and label:          # single rows move, so rows meet by id
+            moved = self.frame.join(splitter.assign(ids, label).withColumnRenamed("subset", "_new"), "row_id", "left")
+        else:
+            moved = splitter.mark(ids, self.frame, label, "_new")
         inside = F.col("part") != "test" if splitter.from_subset == "trainval" else F.col("part") == splitter.from_subset
         names = [self.metadata["split"]] if "split" in self.metadata else []
         return replace(self, frame=moved.withColumn("part", F.when(inside, F.col("_new")).otherwise(F.col("part")))

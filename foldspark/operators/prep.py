@@ -336,11 +336,12 @@ def apply_target(df: DataFrame, fit: TargetFit, name: str | None = None, fold: s
     return out
 
 
-def target_folds(train: DataFrame, label: str | None = None, seed: int = 0, k: int = TARGET_FOLDS) -> DataFrame:
-    """Cross-fitting folds of the training rows: stratified when a class label is given."""
+def target_folds(train: DataFrame, label: str | None = None, seed: int = 0, k: int = TARGET_FOLDS,
+                 to: DataFrame | None = None) -> DataFrame:
+    """Cross-fitting folds of the training rows (or of ``to``, by them): stratified when a class label is given."""
     if label is None:
-        return kfold(train, k, seed, "te_fold")
-    return stratified_kfold(train, k, label, seed, "te_fold")
+        return kfold(train, k, seed, "te_fold", to)
+    return stratified_kfold(train, k, label, seed, "te_fold", to)
 
 
 # --------------------------------------------------------------------------

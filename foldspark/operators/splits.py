@@ -25,9 +25,9 @@ def set_fold(df: DataFrame, fold: int, reversed_: bool = False, fold_col: str =
     return df.withColumn("subset", F.when(F.col(fold_col) == fold, here).otherwise(rest))
 
 
-def _after(boundaries: Column) -> Column:
+def _after(boundaries: Column, key: str = "key") -> Column:
     """How many boundary rows stand before this row."""
-    me = F.struct(F.col("key"), F.col("row_id"))
+    me = F.struct(F.col(key).alias("key"), F.col("row_id"))
     return F.size(F.filter(boundaries, lambda b: b < me))
 
 
@@ -45,15 +45,30 @@ def _boundaries(df: DataFrame, parts: list[str], rank_list: Column, bucket, extr
     return at.groupBy(*parts).agg(F.collect_list(F.struct("key", "row_id")).alias("_at"))
 
 
-def _with_boundaries(df: DataFrame, parts: list[str], bounds: DataFrame) -> DataFrame:
+def _with_boundaries(df: DataFrame, parts: list[str], bounds: DataFrame, how: str = "inner") -> DataFrame:
     if parts:
-        return ranks.join_same(df, ranks.fit_small(bounds), parts)      # rows without a label are a class of their own
+        return ranks.join_same(df, ranks.fit_small(bounds), parts, how)      # rows without a label are a class of their own
     row = bounds.first()
     pairs = [F.struct(F.lit(b["key"]).cast("long").alias("key"), F.lit(b["row_id"]).cast("long").alias("row_id"))
              for b in (row["_at"] if row else [])]
     return df.withColumn("_at", F.array(*pairs))
 
 
+def _evaluate(to: DataFrame, seed: int | None, parts: list[str], bounds: DataFrame, name: str) -> DataFrame:
+    """Every row of ``to`` with its fold by boundaries that were fitted on other rows; NULL for a class these lacked.
+
+    The comparison is part of the scan: no row meets another by its id.
+    """
+    keyed = with_u32(to, {"_split_key": seed}) if seed is not None else to.withColumn("_split_key", F.col("row_id"))
+    marked = _with_boundaries(keyed, parts, bounds, "left")
+    fold = F.when(F.col("_at").isNotNull(), _after(F.col("_at"), "_split_key").cast("int"))
+    return marked.withColumn(name, fold).drop("_at", "_split_key")
+
+
+def _val_rank(ratio: float) -> Column:
+    return F.array(F.struct(F.lit(0).alias("slot"), F.ceil(F.lit(float(ratio)) * F.col("n")).alias("rank")))
+
+
 def holdout(df: DataFrame, ratio: float, seed: int = 0, label: str | None = None,
             ensure_all_classes: bool = False, classes: str | None = None) -> DataFrame:
     """Add ``subset`` = train or val; val is the first ceil(ratio * n) rows of a hash order.
@@ -65,8 +80,7 @@ def holdout(df: DataFrame, ratio: float, seed: int = 0, label: str | None = None
     """
     parts = [label] if label else []
     keyed, bucket = _keyed(df, seed)
-    rank = F.array(F.struct(F.lit(0).alias("slot"), F.ceil(F.lit(float(ratio)) * F.col("n")).alias("rank")))
-    cut = _with_boundaries(keyed, parts, _boundaries(keyed, parts, rank, bucket))
+    cut = _with_boundaries(keyed, parts, _boundaries(keyed, parts, _val_rank(ratio), bucket))
     out = cut.withColumn("subset", F.when(_after(F.col("_at")) == 0, "val").otherwise("train")).drop("_at")
     if ensure_all_classes:
         lonely = (
@@ -90,10 +104,16 @@ def _even_ranks(k: int) -> Column:
         for i in range(k - 1)])
 
 
-def kfold(df: DataFrame, k: int, seed: int | None = 0, fold_name: str = "cv_fold") -> DataFrame:
-    """Add the fold 0..k-1 of a shuffled (or, without a seed, contiguous) K-fold."""
+def kfold(df: DataFrame, k: int, seed: int | None = 0, fold_name: str = "cv_fold", to: DataFrame | None = None) -> DataFrame:
+    """Add the fold 0..k-1 of a shuffled (or, without a seed, contiguous) K-fold.
+
+    With ``to`` the folds are fitted on df and given to the rows of ``to``.
+    """
     keyed, bucket = _keyed(df, seed)
-    cut = _with_boundaries(keyed, [], _boundaries(keyed, [], _even_ranks(k), bucket))
+    bounds = _boundaries(keyed, [], _even_ranks(k), bucket)
+    if to is not None:
+        return _evaluate(to, seed, [], bounds, fold_name)
+    cut = _with_boundaries(keyed, [], bounds)
     return cut.withColumn(fold_name, _after(F.col("_at")).cast("int")).drop("_at", "key")
 
 
@@ -105,11 +125,12 @@ def class_blocks(df: DataFrame, label: str) -> DataFrame:
 
 
 def stratified_kfold(df: DataFrame, k: int, label: str, seed: int | None = 0,
-                     fold_name: str = "cv_fold") -> DataFrame:
+                     fold_name: str = "cv_fold", to: DataFrame | None = None) -> DataFrame:
     """Add the fold of a stratified K-fold.
 
     Fold i receives as many rows of a class as the class block [start, start +
-    size) has positions p with p mod k = i; rows fill folds in key order.
+    size) has positions p with p mod k = i; rows fill folds in key order. With
+    ``to`` the folds are fitted on df and given to the rows of ``to``.
     """
     keyed, bucket = _keyed(df, seed)
     blocks = ranks.fit_small(class_blocks(df, label))
@@ -121,6 +142,8 @@ def stratified_kfold(df: DataFrame, k: int, label: str, seed: int | None = 0,
 
     slots = [F.struct(F.lit(i).alias("slot"), (up_to(end, i) - up_to(start, i)).alias("rank")) for i in range(k - 1)]
     bounds = _boundaries(keyed, [label], F.array(*slots), bucket, blocks)
+    if to is not None:
+        return _evaluate(to, seed, [label], bounds, fold_name)
     cut = _with_boundaries(keyed, [label], bounds)
     return cut.withColumn(fold_name, _after(F.col("_at")).cast("int")).drop("_at", "key")
 
@@ -212,6 +235,25 @@ class Splitter:
             out = train_val(out, self.fold_idx, to_subsets=self.to_subsets)
         return out.filter(F.col("subset").isNotNull()).select("row_id", "subset")
 
+    def mark(self, source: DataFrame, to: DataFrame, label: str | None = None, name: str = "subset") -> DataFrame:
+        """``to`` with the subset that each row has, or would have, among the rows of the source subset."""
+        if self.ensure_all_classes and label is not None:
+            raise ValueError("rows that are moved for their class are found by id; use assign")
+        train, val = self.to_subsets
+        if self.method == "none":
+            return to.withColumn(name, F.lit(self.from_subset))
+        if self.method == "holdout":
+            keyed, bucket = _keyed(source, self.random_seed)
+            out = _evaluate(to, self.random_seed, [], _boundaries(keyed, [], _val_rank(self.val_ratio), bucket), "_fold_of")
+            first = F.col("_fold_of") == 0
+        else:
+            if label and self.stratified:
+                out = stratified_kfold(source, self.n_folds, label, self.random_seed, "_fold_of", to)
+            else:
+                out = kfold(source, self.n_folds, self.random_seed, "_fold_of", to)
+            first = F.col("_fold_of") == self.fold_idx
+        return out.withColumn(name, F.when(first, F.lit(val)).otherwise(F.lit(train))).drop("_fold_of")
+
     def split(self, subsets: DataFrame, rows: DataFrame, label: str | None = None) -> DataFrame:
         """Add this split's subsets to a (row_id, subset) table."""
         if self.method == "none":

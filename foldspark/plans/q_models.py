@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import prep as P
 from ..operators import ranks
 from ..operators import splits as K
+from . import sqllinear as Q
 from . import sqltext as S
 from . import views as V
 from .registry import query
@@ -37,6 +38,11 @@ def _coefs(df, features, w, b, digits=6):
     return df.sparkSession.createDataFrame(rows, "feature string, value double")
 
 
+def _path(df, table, schema):
+    """A path with its errors rounded."""
+    return L.small_frame(df, table, schema).withColumn("mse", X.zero_safe_round("mse"))
+
+
 def _gram(t, fold=None):
     df, features = prepared(t, V.v_reg_signal)
     m, s = df.agg(F.avg("y"), F.stddev_pop("y")).first()
@@ -44,25 +50,25 @@ def _gram(t, fold=None):
     return z, G.fold_grams(z, features, "y", fold)
 
 
-@query("ols_fit")
+@query("ols_fit", Q.ridge("v_reg_signal", 0.0))
 def ols_fit(t):
     df, g = _gram(t)
     return _coefs(df, g.features, *G.ridge(g.total))
 
 
-@query("ridge_fit")
+@query("ridge_fit", Q.ridge("v_reg_signal", 100.0))
 def ridge_fit(t):
     df, g = _gram(t)
     return _coefs(df, g.features, *G.ridge(g.total, 100.0))
 
 
-@query("lasso_fit")
+@query("lasso_fit", Q.elastic("v_reg_signal", 0.01, 0.0))
 def lasso_fit(t):
     df, g = _gram(t)
     return _coefs(df, g.features, *G.fit_penalised(g.total, l1=0.01))
 
 
-@query("elasticnet_fit")
+@query("elasticnet_fit", Q.elastic("v_reg_signal", 0.01, 0.01))
 def elasticnet_fit(t):
     df, g = _gram(t)
     return _coefs(df, g.features, *G.fit_penalised(g.total, l1=0.01, l2=0.01))
@@ -89,31 +95,31 @@ def linear_one_feature(t):
     return t.spark.createDataFrame([(k, round(float(w[0]), 6)) for k, (w, _) in fits.items()], "model string, slope double")
 
 
-@query("ridge_loo_path")
+@query("ridge_loo_path", Q.loo_path("v_reg_signal"))
 def ridge_loo_path(t):
     df, g = _gram(t)
-    return L.small_frame(df, G.ridge_loo_path(df, g), "alpha double, mse double")
+    return _path(df, G.ridge_loo_path(df, g), "alpha double, mse double")
 
 
-@query("lasso_cv_path")
+@query("lasso_cv_path", Q.elastic_path("v_reg_signal", 1.0))
 def lasso_cv_path(t):
     df, g = _gram(t, "cv_fold")
-    return L.small_frame(df, G.elastic_cv_path(g), "l1_ratio double, alpha double, mse double")
+    return _path(df, G.elastic_cv_path(g), "l1_ratio double, alpha double, mse double")
 
 
-@query("elasticnet_cv_path")
+@query("elasticnet_cv_path", Q.elastic_path("v_reg_signal", 0.5))
 def elasticnet_cv_path(t):
     df, g = _gram(t, "cv_fold")
-    return L.small_frame(df, G.elastic_cv_path(g, l1_ratios=[0.5]), "l1_ratio double, alpha double, mse double")
+    return _path(df, G.elastic_cv_path(g, l1_ratios=[0.5]), "l1_ratio double, alpha double, mse double")
 
 
-@query("forward_selection_path")
+@query("forward_selection_path", Q.forward_path("v_reg_signal"))
 def forward_selection_path(t):
     df, g = _gram(t, "cv_fold")
-    return L.small_frame(df, G.forward_cv_path(g), "n_features long, mse double")
+    return _path(df, G.forward_cv_path(g), "n_features long, mse double")
 
 
-@query("logistic_binary")
+@query("logistic_binary", Q.logistic("v_bin", "O", 1.0))
 def logistic_binary(t):
     df, features = prepared(t, V.v_bin, labels=["F", "O"])
     task = LG.Task(LG.NO_FOLD, 1.0)
@@ -240,3 +246,55 @@ def boosting_with_init(t):
     return M.score_groups(both, ["subset", "model"], ["r2"])
 
 
+
+
+_FEW = ["n_year", "n_dec", *V.CAT]
+
+
+def _rounds_sql(rounds: int, depth: int) -> str:
+    """The same boosting as unrolled SQL: histograms of every level, the best split of all nodes, leaves, margins."""
+    values = ", ".join(f"({i}, CAST({c} AS VARCHAR), {('n_year', 'n_dec').index(c) if c.startswith('n_') else 9})" for i, c in enumerate(_FEW))
+    sql = S.with_views("v_reg_signal", more=f"""
+base AS MATERIALIZED (SELECT row_id, y, fold, n_year, n_mod % 10 AS n_dec, {', '.join(V.CAT)} FROM v_reg_signal),
+cell AS MATERIALIZED (SELECT row_id, fold > 1 AS train, f, v, num < 9 AS numeric, if(num < 9, CAST(v AS DOUBLE), NULL) AS x
+  FROM (SELECT row_id, fold, unnest([{', '.join(f"{{'f': {i}, 'v': CAST({c} AS VARCHAR), 'num': {0 if c.startswith('n_') else 9}}}" for i, c in enumerate(_FEW))}], recursive := true) FROM base)),
+border AS MATERIALIZED (SELECT f, x, CAST(row_number() OVER (PARTITION BY f ORDER BY x) AS INTEGER) AS code FROM (SELECT DISTINCT f, x FROM cell WHERE numeric AND train)
+  QUALIFY x < max(x) OVER (PARTITION BY f)),
+known AS MATERIALIZED (SELECT f, v, CAST(row_number() OVER (PARTITION BY f ORDER BY count(*) DESC, v) AS INTEGER) AS code FROM cell WHERE NOT numeric AND train GROUP BY f, v),
+coded AS MATERIALIZED (SELECT row_id, train, cell.f, numeric, CAST(if(numeric, 1 + (SELECT count(*) FROM border b WHERE b.f = cell.f AND b.x < cell.x), coalesce(known.code, 0)) AS INTEGER) AS code
+  FROM cell LEFT JOIN known ON known.f = cell.f AND known.v = cell.v),
+choice AS MATERIALIZED (SELECT f, code, true AS numeric FROM border UNION ALL SELECT f, code, false FROM known),
+m0 AS MATERIALIZED (SELECT row_id, fold > 1 AS train, y, (SELECT avg(y) FROM base WHERE fold > 1) AS m FROM base)""")
+    for r in range(1, rounds + 1):
+        sql += f""",
+n{r}_0 AS (SELECT row_id, train, y - m AS g, 0 AS node FROM m{r - 1})"""
+        for k in range(depth):
+            now = f"{r}_{k}"
+            sql += f""",
+h{now} AS MATERIALIZED (SELECT node, f, code, sum(g) AS g, count(*) AS n FROM n{now} JOIN coded USING (row_id) WHERE n{now}.train GROUP BY ALL),
+t{now} AS MATERIALIZED (SELECT node, sum(g) AS g, count(*) AS n FROM n{now} WHERE train GROUP BY node),
+b{now} AS MATERIALIZED (SELECT f, code, numeric FROM (SELECT c.f, c.code, c.numeric, t.node, t.g, t.n, coalesce(sum(h.g), 0) AS lg, coalesce(sum(h.n), 0) AS ln
+    FROM choice c CROSS JOIN t{now} t LEFT JOIN h{now} h ON h.node = t.node AND h.f = c.f AND if(c.numeric, h.code <= c.code, h.code = c.code) GROUP BY ALL)
+  GROUP BY f, code, numeric ORDER BY sum(lg * lg / (ln + 3.0::DOUBLE) + (g - lg) * (g - lg) / (n - ln + 3.0::DOUBLE)) DESC, f, code LIMIT 1),
+n{r}_{k + 1} AS MATERIALIZED (SELECT n.row_id, n.train, n.g, n.node + if(if(b.numeric, c.code > b.code, c.code <> b.code), {1 << k}, 0) AS node
+  FROM n{now} n JOIN coded c USING (row_id) JOIN b{now} b ON b.f = c.f)"""
+        sql += f""",
+v{r} AS (SELECT node, 0.1::DOUBLE * sum(g) / (count(*) + 3.0::DOUBLE) AS v FROM n{r}_{depth} WHERE train GROUP BY node),
+m{r} AS MATERIALIZED (SELECT o.row_id, o.train, o.y, o.m + coalesce(v, 0) AS m FROM m{r - 1} o JOIN n{r}_{depth} n USING (row_id) LEFT JOIN v{r} USING (node))"""
+    parts = " UNION ALL ".join(f"SELECT {r - 1} AS round, row_id, y, m FROM m{r}" for r in range(1, rounds + 1))
+    return sql + f"""
+SELECT CAST(round AS INTEGER) AS round, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS subset, count(*) AS n, {S.rnd('sqrt(avg((p.y - m) * (p.y - m)))', 3)} AS rmse,
+       {S.rnd('sum(m * (1 + p.row_id % 7))', 0)} AS mark
+FROM ({parts}) p JOIN base USING (row_id) GROUP BY ALL"""
+
+
+@query("boosting_rounds", _rounds_sql(4, 3))
+def boosting_rounds(t):
+    """Learning curve of a fitted model: four rounds of depth three, error of each round and subset."""
+    rows = V.with_subset(V.v_reg_signal(t).withColumn("n_dec", F.col("n_mod") % 10))
+    model = T.Boosting("regression", depth=3, max_rounds=4).fit(rows.filter("fold > 1"), _FEW)
+    staged = model.staged(rows.select("row_id", "subset", "y", *_FEW))
+    e = F.col("y") - F.col("pred")
+    return staged.groupBy("round", "subset").agg(
+        F.count(F.lit(1)).alias("n"), X.zero_safe_round(F.sqrt(F.avg(e * e)), 3).alias("rmse"),
+        X.zero_safe_round(F.sum(F.col("pred") * (1 + F.col("row_id") % 7)), 0).alias("mark"))

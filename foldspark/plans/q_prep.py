@@ -153,8 +153,8 @@ _K25 = f"""tr AS MATERIALIZED (SELECT *, CAST(ntile(25) OVER (ORDER BY {S.u32(0,
 def _with_folds(df, label=None):
     """All rows with the cross-fitting fold of training rows."""
     train = df.filter(_TRAIN)
-    folds = P.target_folds(train.select("row_id", *([label] if label else [])), label)
-    return df.join(folds.select("row_id", "te_fold"), "row_id", "left")
+    folded = P.target_folds(train.select("row_id", *([label] if label else [])), label, to=df)
+    return folded.withColumn("te_fold", F.when(F.expr(_TRAIN), F.col("te_fold")))
 
 
 @query("target_encode_crossfit", S.with_views("v_rare", more=_K25 + te_sql("y", "k")) + f"""

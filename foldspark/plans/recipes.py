@@ -118,8 +118,8 @@ class LinearRecipe(Recipe):
         if "target_encoding" in kinds.values():
             fold = "te_fold"
             label = None if data.spec.task == "regression" else "y"
-            folds = prep.target_folds(rows.filter(is_train).select("row_id", *([label] if label else [])), label)
-            rows = cut(rows.join(folds.select("row_id", "te_fold"), "row_id", "left"))
+            inside = rows.filter(is_train).select("row_id", *([label] if label else []))
+            rows = prep.target_folds(inside, label, to=rows).withColumn("te_fold", F.when(is_train, F.col("te_fold")))
         n = data.spec.n_classes if data.spec.task == "multiclass" else None
         space = prep.fit_features(rows.filter(is_train), kinds, "y", n)
         keep = [c for c in ("row_id", "y", "part", "cv_fold", "fit_fold") if c in rows.columns]
@@ -133,10 +133,10 @@ class LinearRecipe(Recipe):
         is_train = F.col("part") == "train"
         train = data.subset("train")
         if task == "regression":
-            folds = K.kfold(train.select("row_id"), CV, None, "fit_fold")
+            rows = K.kfold(train.select("row_id"), CV, None, "fit_fold", data.frame)
         else:
-            folds = K.stratified_kfold(train.select("row_id", "y"), CV, "y", None, "fit_fold").drop("y")
-        rows = data.frame.join(folds, "row_id", "left")
+            rows = K.stratified_kfold(train.select("row_id", "y"), CV, "y", None, "fit_fold", data.frame)
+        rows = rows.withColumn("fit_fold", F.when(is_train, F.col("fit_fold")))
         kinds = self.kinds(data, train, prev)
         ready, space = self._space(data, rows, is_train, kinds)
         model = LinearCV(task, self.reg_type, y_transform=self.y_transform, n_classes=n, n_folds=CV, fold="fit_fold")
