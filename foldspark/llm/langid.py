@@ -1,16 +1,19 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One model per language over letters in lower case and single gaps, up to ``ORDER``
-characters. The n-grams of all languages share one sorted array of hashes for each order,
-beside a table of log probabilities with a column for each language; contexts have their
-own sorted arrays with the weights passed to the shorter order. A text's cross-entropy
-under each model, divided by its length, picks the language; a softmax whose sharpness is
-calibrated on documents that were not counted gives the score, and texts whose best
-cross-entropy exceeds nearly all of those documents' are flagged as rejected.
+characters: for each order a sorted array of n-gram hashes beside their log probabilities,
+and one of context hashes beside the weights that they pass to the shorter order. Counts,
+discounts and probabilities come from Spark joins and sums; the driver gathers the finished
+arrays, order by order. A text's cross-entropy under each model, divided by its length,
+picks the language; a softmax whose sharpness is calibrated on documents that were not
+counted gives the score, and texts whose best cross-entropy exceeds nearly all of those
+documents' are flagged as rejected.
 
 The models are fitted on a bounded sample: at most about ``DOCS`` labelled documents a
-language, of ``DOC_CHARS`` characters at most, and as many again halved for calibration;
-a language with fewer than ``FEW`` such documents also takes pieces of its longer ones.
+language and ``ALL_DOCS`` of all languages, of ``DOC_CHARS`` characters at most, and half as
+many again for calibration; a language with fewer than ``FEW`` such documents also takes
+pieces of its longer ones. Arrays hold only what a language has seen, so the models grow
+with the sample, not with the number of languages times all n-grams.
 Every text is scored whole. Defined cases: a null text and one without letters give
 ``und`` and 0; ties go to the first language by name; without labels every text is ``und``.
 """
@@ -20,14 +23,16 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm.bagminhash import GOLDEN, mix
+from foldspark.llm.common import cut
 
-ORDER, DOCS, DOC_CHARS, FEW = 5, 800, 40_000, 10
+ORDER, DOCS, ALL_DOCS, DOC_CHARS, FEW = 5, 800, 12_800, 40_000, 10
+#: The chance of a character that no model knows.
+FLOOR = 1.0 / 2_000
 UNKNOWN = "und"
 CHUNK = 1 << 20
 
@@ -84,23 +89,69 @@ def _chunks(texts: list[str | None]):
         yield at, held
 
 
-def _count(batches):
-    """(lang, n, gram, context, suffix, times) of the sampled texts."""
-    for batch in batches:
-        frame = batch.to_pandas()
-        for lang, part in frame.groupby("lang"):
-            for _, texts in _chunks(part["text"].tolist()):
-                codes, owner = characters(texts)
-                h, inside = grams(codes), owner >= 0
-                for n in range(1, ORDER + 1):
-                    at = np.flatnonzero(inside)
-                    gram, first, times = np.unique(h[n][at], return_index=True, return_counts=True)
-                    where = at[first]
-                    yield pa.record_batch(
-                        [pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), n, np.int32)),
-                         pa.array(gram.view(np.int64)), pa.array(h[n - 1][where - 1].view(np.int64)),
-                         pa.array(h[n - 1][where].view(np.int64)), pa.array(times.astype(np.int64))],
-                        ["lang", "n", "gram", "context", "suffix", "times"])
+def _count(languages: list[str]):
+    """Map batches of (text, lang) to (lang, n, gram, context, suffix, times); lang is the place in languages."""
+    code = {x: i for i, x in enumerate(languages)}
+
+    def run(batches):
+        for batch in batches:
+            frame = batch.to_pandas()
+            for lang, part in frame.groupby("lang"):
+                for _, texts in _chunks(part["text"].tolist()):
+                    codes, owner = characters(texts)
+                    h, at = grams(codes), np.flatnonzero(owner >= 0)
+                    for n in range(1, ORDER + 1):
+                        gram, first, times = np.unique(h[n][at], return_index=True, return_counts=True)
+                        where = at[first]
+                        yield pa.record_batch(
+                            [pa.array(np.full(len(gram), code[lang], np.int32)), pa.array(np.full(len(gram), n, np.int32)),
+                             pa.array(gram.view(np.int64)), pa.array(h[n - 1][where - 1].view(np.int64)),
+                             pa.array(h[n - 1][where].view(np.int64)), pa.array(times.astype(np.int64))],
+                            ["lang", "n", "gram", "context", "suffix", "times"])
+
+    return run
+
+
+def smoothed(counts: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Interpolated Kneser-Ney: for each order (lang, gram, chance), and (lang, n, context, passed) of all orders.
+
+    The longest grams weigh what they occur, shorter ones in how many ways longer grams
+    continue to them. A context gives up the discount of each kind that follows it.
+    """
+    n = F.col("n")
+    ways = counts.where(n > 1).groupBy("lang", (n - 1).alias("n"), F.col("suffix").alias("gram")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight"))
+    shorter = counts.where(n < ORDER).drop("times").join(ways, ["lang", "n", "gram"])
+    weighed = cut(shorter.unionByName(counts.where(n == ORDER).withColumn("weight", F.col("times").cast("double")).drop("times")))
+    once, twice = F.count_if(F.col("weight") == 1), F.count_if(F.col("weight") == 2)
+    discount = F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.when(once > 0, once / (once + 2 * twice)).otherwise(0.5)))
+    discounts = F.broadcast(weighed.groupBy("lang", "n").agg(discount.alias("discount")))    # one row per language and order
+    contexts = cut(weighed.groupBy("lang", "n", "context").agg(
+        F.sum("weight").alias("total"), F.count(F.lit(1)).alias("kinds")).join(discounts, ["lang", "n"]).select(
+        "lang", "n", "context", "total", "discount", (F.col("discount") * F.col("kinds") / F.col("total")).alias("passed")))
+    own = weighed.join(contexts, ["lang", "n", "context"]).select(
+        "lang", "n", "gram", "suffix", "passed", (F.greatest(F.col("weight") - F.col("discount"), F.lit(0.0)) / F.col("total")).alias("kept"))
+    own, orders = cut(own), []
+    for k in range(1, ORDER + 1):
+        here = own.where(n == k)
+        if k == 1:
+            below = F.lit(FLOOR)
+        else:
+            lower = orders[-1].select("lang", F.col("gram").alias("suffix"), F.col("chance").alias("below"))
+            here, below = here.join(lower, ["lang", "suffix"]), F.col("below")
+        orders.append(cut(here.select("lang", "gram", (F.col("kept") + F.col("passed") * below).alias("chance"))))
+    return orders, contexts.select("lang", "n", "context", "passed")
+
+
+def _arrays(table: DataFrame, n_languages: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each language the sorted hashes of a table (lang, hash, value) and the values' logarithms."""
+    held = table.toArrow()
+    lang, hashes, value = (held.column(i).to_numpy() for i in range(3))
+    hashes = hashes.view(np.uint64)
+    order = np.lexsort((hashes, lang))
+    cuts = np.searchsorted(lang[order], np.arange(n_languages + 1))
+    hashes, logs = hashes[order], np.log(value[order]).astype(np.float32)
+    return [(hashes[a:b], logs[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -112,50 +163,30 @@ def _find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Models:
-    """Sorted hash arrays with a column for each language."""
-
-    def __init__(self, counts: pd.DataFrame, languages: list[str]):
-        self.languages, k = languages, len(languages)
-        self.sharpness, self.limits = 30.0, np.full(k, np.inf)
-        if not k:
-            return
-        code = {x: i for i, x in enumerate(languages)}
-        table = {}
-        for n in range(1, ORDER + 1):
-            part = counts[counts["n"] == n]
-            lang = part["lang"].map(code).to_numpy()
-            gram, context, suffix = (part[c].to_numpy().view(np.uint64) for c in ("gram", "context", "suffix"))
-            table[n] = (lang, gram, context, suffix, part["times"].to_numpy().astype(np.float64))
-        self.grams, self.logs, self.contexts, self.passes = [], [], [], []
-        lower = None
-        for n in range(1, ORDER + 1):
-            lang, gram, context, suffix, times = table[n]
-            hashes, first = np.unique(gram, return_index=True)
-            own, where = context[first], suffix[first]
-            weight = np.zeros((len(hashes), k))
-            if n == ORDER:
-                weight[np.searchsorted(hashes, gram), lang] = times
-            else:                                          # in how many ways the longer grams continue to this one
-                up_lang, _, _, up_suffix, _ = table[n + 1]
-                known = _find(hashes, up_suffix)
-                np.add.at(weight, (known[known >= 0], up_lang[known >= 0]), 1.0)
-            contexts = np.unique(own)
-            at = np.searchsorted(contexts, own)
-            total, kinds = np.zeros((len(contexts), k)), np.zeros((len(contexts), k))
-            np.add.at(total, at, weight)
-            np.add.at(kinds, at, (weight > 0).astype(np.float64))
-            once, twice = (weight == 1).sum(axis=0), (weight == 2).sum(axis=0)
-            discount = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.1, 0.9)
-            passed = np.where(total > 0, discount * kinds / np.maximum(total, 1e-300), 1.0)
-            kept = np.maximum(weight - discount, 0) / np.maximum(total[at], 1e-300)
-            below = np.full((len(hashes), k), 1.0 / 2_000) if n == 1 else lower[_find(self.grams[-1], where)]
-            chance = kept + passed[at] * below
-            lower = chance
-            self.grams.append(hashes)
-            self.logs.append(np.log(chance).astype(np.float32))
-            self.contexts.append(contexts)
-            self.passes.append(np.log(passed).astype(np.float32))
-        self.none = np.float32(np.log(1.0 / 2_000))
+    """Sorted hash arrays of each language: grams[n - 1][j] and passes[n - 1][j] are (hashes, logarithms)."""
+
+    def __init__(self, languages: list[str], grams: list[list], passes: list[list]):
+        self.languages, self.grams, self.passes = languages, grams, passes
+        self.sharpness, self.limits = 30.0, np.full(len(languages), np.inf)
+        self.none = np.float32(np.log(FLOOR))
+
+    def _logs(self, j: int, h: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Log probability under language j of the character at each place, given those before it."""
+        score, left = np.zeros(len(at), np.float32), np.arange(len(at))
+        for n in range(ORDER, 0, -1):                  # longest first; what is missing goes on to the shorter order
+            hashes, logs = self.grams[n - 1][j]
+            found = _find(hashes, h[n][at[left]])
+            hit = found >= 0
+            score[left[hit]] += logs[found[hit]]
+            left = left[~hit]
+            if not len(left):
+                return score
+            hashes, logs = self.passes[n - 1][j]
+            context = _find(hashes, h[n - 1][at[left] - 1])
+            known = context >= 0
+            score[left[known]] += logs[context[known]]
+        score[left] += self.none
+        return score
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy of every text under every language, and its number of letters."""
@@ -163,25 +194,16 @@ class Models:
         out, letters = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
         for start, part in _chunks(texts):
             codes, owner = characters(part)
-            h = grams(codes)
             at = np.flatnonzero(owner >= 0)
             if not len(at):
                 continue
-            mine, score = owner[at], np.zeros((len(at), k), np.float32)
-            left = np.arange(len(at))
-            for n in range(ORDER, 0, -1):                  # longest first; what is missing goes on to the shorter order
-                i = at[left]
-                found = _find(self.grams[n - 1], h[n][i])
-                hit = found >= 0
-                score[left[hit]] += self.logs[n - 1][found[hit]]
-                left, i = left[~hit], i[~hit]
-                context = _find(self.contexts[n - 1], h[n - 1][i - 1])
-                known = context >= 0
-                score[left[known]] += self.passes[n - 1][context[known]]
-            score[left] += self.none
-            size = np.bincount(mine, minlength=len(part))
-            sums = np.stack([np.bincount(mine, score[:, j], len(part)) for j in range(k)], axis=1)
-            out[start:start + len(part)] = -sums / np.maximum(size, 1)[:, None]
+            h, mine = grams(codes), owner[at]
+            # the longest gram decides the chance, so each one is looked up once
+            _, first, place = np.unique(h[ORDER][at], return_index=True, return_inverse=True)
+            size = np.maximum(np.bincount(mine, minlength=len(part)), 1)
+            for j in range(k):
+                logs = self._logs(j, h, at[first])
+                out[start:start + len(part), j] = -np.bincount(mine, logs[place], len(part)) / size
             letters[start:start + len(part)] = np.bincount(mine[codes[at] != 0], minlength=len(part))
         return out, letters
 
@@ -257,22 +279,27 @@ def fit(labelled: DataFrame, docs: int = DOCS, doc_chars: int = DOC_CHARS) -> Mo
             per[r["lang"]] += r["n"]
         usable = usable.unionByName(pieces)
     if not per:
-        return Models(pd.DataFrame({c: pd.Series(dtype=t) for c, t in zip(
-            ("lang", "n", "gram", "context", "suffix", "times"), ("str", "int", "int64", "int64", "int64", "int64"))}), [])
-    share = F.lit(0.0)
-    for lang, n in per.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * docs / n))).otherwise(share)
+        return Models([], [], [])
+    docs = min(docs, max(1, ALL_DOCS // len(per)))
+    shares = F.broadcast(usable.sparkSession.createDataFrame(           # one row per language
+        [(lang, min(1.0, 1.5 * docs / max(n, 1)), n < FEW) for lang, n in per.items()], "lang string, share double, few boolean"))
     draw = lambda salt: F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    few = [lang for lang, n in per.items() if n < FEW]      # all of these are counted, none calibrate
-    sample = usable.where(draw(1) < share).select(
-        "text", "lang", ((draw(2) < 2 / 3) | F.col("lang").isin(few)).alias("count"))
-    counts = sample.where("count").select("text", "lang").mapInArrow(
-        _count, "lang string, n int, gram long, context long, suffix long, times long").groupBy(
-        "lang", "n", "gram", "context", "suffix").agg(F.sum("times").alias("times")).toPandas()
-    models = Models(counts, sorted(counts["lang"].unique()))
-    held = sample.where(~F.col("count")).select("text", "lang").toPandas()
-    held = held[held["lang"].isin(models.languages)]
-    models.calibrate(held["text"].tolist(), held["lang"].tolist())
+    # all documents of languages with few are counted, none calibrate
+    sample = usable.join(shares, "lang").where(draw(1) < F.col("share")).select(
+        "text", "lang", ((draw(2) < 2 / 3) | F.col("few")).alias("count"))
+    languages = sorted(per)
+    counts = cut(sample.where("count").select("text", "lang").mapInArrow(
+        _count(languages), "lang int, n int, gram long, context long, suffix long, times long").groupBy(
+        "lang", "n", "gram", "context", "suffix").agg(F.sum("times").alias("times")))
+    orders, contexts = smoothed(counts)
+    k = len(languages)
+    grams_of = [_arrays(t, k) for t in orders]
+    passes_of = [_arrays(contexts.where(F.col("n") == n).select("lang", "context", "passed"), k) for n in range(1, ORDER + 1)]
+    seen = [j for j in range(k) if len(grams_of[0][j][0])]              # a language without a character has no model
+    models = Models([languages[j] for j in seen], *([[t[j] for j in seen] for t in x] for x in (grams_of, passes_of)))
+    held = sample.where(~F.col("count")).select("text", "lang").toArrow().to_pylist()
+    held = [(r["text"], r["lang"]) for r in held if r["lang"] in set(models.languages)]
+    models.calibrate([t for t, _ in held], [x for _, x in held])
     return models
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -196,6 +197,24 @@ def test_blocks_find_what_pairs_find(spark, monkeypatch):
     one = sorted(bagminhash.duplicate_classes(docs).collect())
     monkeypatch.setattr(bagminhash, "PAIRS", 0)
     assert sorted(bagminhash.duplicate_classes(docs).collect()) == one
+    monkeypatch.setattr(bagminhash, "BLOCK_BYTES", 20_000)
+    assert sorted(bagminhash.duplicate_classes(docs).collect()) == one
+
+
+def test_one_of_each_takes_clashing_names(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 1, 2, 3, 4), (3, None, 1, 2, 3, 4), (3, None, 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bm_gone int, bm_row int, row int, kept int")
+    out = bagminhash.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_bad_piece_ids_decode_to_nothing(spark):
+    model = pieces.compiled(pieces._model_bytes(pieces.MODEL))
+    run = model.encode("hello there")
+    good = np.frombuffer(run, np.int32).tolist()
+    rows = [(0, good), (1, [*good, None]), (2, [2**31 - 1, -1, *good]), (3, []), (4, None)]
+    back, name = pieces.decoded(spark.createDataFrame(rows, "k int, ids array<int>"))
+    assert {r["k"]: r[name] for r in back.collect()} == {0: "hello there", 1: "hello there", 2: "hello there", 3: "", 4: ""}
 
 
 def test_signatures_estimate_the_weighted_similarity():
@@ -342,13 +361,90 @@ def test_characters_are_probabilities(spark, sf):
     a = models.entropies(["the", None, "ÉTÉ de la"])[0]
     b = models.entropies(["ÉTÉ de la"])[0]
     assert np.allclose(a[2], b[0])                         # a text's score does not depend on its neighbours
-    seen = models.contexts[1]
     for j in range(len(models.languages)):                 # the two-character model sums to one over known characters, at most
         h = langid.grams(np.array([0, 0, 0, 0, 0, ord("e")]))[1][-1]
         c = [langid.mix(np.array([h]) + np.array([ord(x) + 1], np.uint64) * langid.GOLDEN)[0] for x in "abcdefghijklmnopqrstuvwxyzéèêßäöüñóí"]
-        at = langid._find(models.grams[1], np.array(c, np.uint64))
-        assert 0.3 < np.exp(models.logs[1][at[at >= 0], j]).sum() <= 1.0 + 1e-5
-    assert len(seen)
+        hashes, logs = models.grams[1][j]
+        at = langid._find(hashes, np.array(c, np.uint64))
+        assert 0.3 < np.exp(logs[at[at >= 0]]).sum() <= 1.0 + 1e-5
+
+
+def kneser_ney(texts, order=langid.ORDER):
+    """log p(character | those before it) of a model counted from texts, by its definition."""
+
+    def places(text):
+        seq = []
+        for c in text:
+            c = c.lower()[0] if c.isalpha() else " "
+            if c != " " or seq and seq[-1] != " ":
+                seq.append(c)
+        seq = [" "] * order + seq
+        return ["".join(seq[i - order + 1:i + 1]) for i in range(order, len(seq))]
+
+    times = collections.Counter(g for t in texts for g in places(t))
+    weight = {order: dict(times)}
+    for n in range(order - 1, 0, -1):
+        weight[n] = collections.Counter(g[1:] for g in {x[order - n - 1:] for x in times})
+    discount, total, kinds = {}, collections.Counter(), collections.Counter()
+    for n, w in weight.items():
+        once, twice = (sum(x == v for x in w.values()) for v in (1, 2))
+        discount[n] = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
+        for g, x in w.items():
+            total[n, g[:-1]] += x
+            kinds[n, g[:-1]] += 1
+
+    def passed(n, g):
+        c = n, g[:-1]
+        return discount[n] * kinds[c] / total[c] if c in total else 1.0
+
+    def chance(n, g):
+        if n == 0:
+            return langid.FLOOR
+        if g not in weight[n]:
+            return passed(n, g) * chance(n - 1, g[1:])
+        return max(weight[n][g] - discount[n], 0) / total[n, g[:-1]] + passed(n, g) * chance(n - 1, g[1:])
+
+    def entropy(text):
+        at = places(text)
+        return -sum(math.log(chance(order, g)) for g in at) / max(len(at), 1)
+
+    return entropy
+
+
+def test_entropies_equal_kneser_ney(spark):
+    texts = {"aa": ["the cat sat on the mat", "The end. It is THE end!", "another cat, another mat", "ab"],
+             "bb": ["el gato es él", "  123 la casa\nla cama", "una cosa y otra cosa", "ñ"], "cc": ["!!", ""]}
+    rows = [(i, t, x) for i, (x, t) in enumerate((x, t) for x, ts in texts.items() for t in ts)]
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.languages == ["aa", "bb"]
+    tried = ["the cat", "la casa es una", "zzz", "él... gato", "th", "", "ñandú 5 mats", "x" * 30 + " the"]
+    got = models.entropies(tried)[0]
+    for j, x in enumerate(models.languages):
+        want = kneser_ney(texts[x])
+        assert np.allclose(got[:, j], [want(t) for t in tried], atol=1e-4)
+
+
+def test_models_of_a_hundred_languages_are_sparse(spark):
+    rng = random.Random(2)
+    letters = [chr(0x0e00 + i) for i in range(46)] + [chr(0x0430 + i) for i in range(32)]
+    rows, sizes = [], []
+    for k in range(100):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(60)]
+        rows += [(k * 20 + i, " ".join(rng.choices(words, k=40)), f"l{k:03}") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.fit(docs)
+    sizes = [sum(len(h) for h, _ in x) for x in (*models.grams, *models.passes)]
+    assert len(models.languages) == 100 and sum(sizes) < 600_000     # one entry for what a language has seen
+    lang, _, _ = models.predict([r[1] for r in rows[::7]])
+    assert np.mean([a == r[2] for a, r in zip(lang, rows[::7])]) > 0.98
+
+
+def test_language_of_a_long_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    models = langid.fit(docs, docs=50)
+    r = docs.where("lang is not null and length(text) > 200").first()
+    long = spark.createDataFrame([(1, (r.text + "\n") * (3_000_000 // len(r.text)))], "doc_id long, text string")
+    assert langid.predicted(long, models).first().lang_pred == models.predict([r.text])[0][0]
 
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
