@@ -291,15 +291,19 @@ def encoded(docs: DataFrame, model_path: str = MODEL, keep_text: bool = True) ->
 
 
 def decoded(rows: DataFrame, ids: str = "ids", model_path: str = MODEL) -> tuple[DataFrame, str]:
-    """rows with the text of their ids in a new column of the returned name; null ids give an empty text."""
+    """rows with the text of their ids in a new column of the returned name.
+
+    Null lists give an empty text; ids that are null or not in the vocabulary give nothing.
+    """
     name = fresh(rows, "decoded")
     model = rows.sparkSession.sparkContext.broadcast(_model_bytes(model_path))
 
     def run(batches):
         machine = compiled(model.value)
+        known = len(machine.spelled)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            runs = [np.array(x or [], np.int32) for x in lists.to_pylist()]
+            runs = [np.array([i for i in x or () if i is not None and 0 <= i < known], np.int32) for x in lists.to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int32)
             flat = np.concatenate(runs) if runs else np.zeros(0, np.int32)
             yield pa.record_batch([*batch.columns, pa.array(machine.decode(flat, offsets), pa.string())],
