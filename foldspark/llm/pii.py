@@ -14,7 +14,9 @@ bounded sample: about ``WINDOWS`` windows from at most ``DOCS`` lines, labelled
 the patterns and by assignments of long mixed strings. The lines are different ones drawn
 by a keyed hash over the whole table, half from all and half in equal parts from the lines
 of each kind, so every kind that occurs in such a line is seen wherever it stands; the order of
-rows and files plays no part. Defined cases: a null or empty text
+rows and files plays no part. A sampled secret is seen again shortened to other lengths, after other
+cue words and as a key of capitals, so that the field does not learn the one form that a table
+happens to hold. A segment of fewer than 7 characters is never an entity. Defined cases: a null or empty text
 has no spans; offsets are code points, ends exclusive; repeated rows are judged alike.
 """
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-SPAN, CHARS, DOCS, WINDOWS, PER_LINE, ROUNDS, BOUND = 16, 80, 2_000, 600, 4, 5, 4_000
+SPAN, CHARS, DOCS, WINDOWS, PER_LINE, ROUNDS, BOUND = 16, 80, 2_000, 900, 4, 5, 4_000
 
 TRIGGER = re.compile("[0-9@]")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -43,6 +45,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"(?:token|password|secret|key)\s*=\s*\"?([0-9A-Za-z_-]{12,})|\b([A-Z]{4}[A-Z0-9]{16})\b")
+#: What the pattern for secrets looks for before them, and its key of capitals.
+CUES, CAPITALS = ("token", "password", "secret", "key"), re.compile("[A-Z]{4}[A-Z0-9]{16}")
+CUE = re.compile(r"([^\W\d_]+)\s*[=:]?\s*[\"']?$")
 #: Unbroken runs as in keys and tokens, with padding; each is a candidate whatever its length.
 RUNS = (re.compile(r"[0-9A-Za-z_-]+"), re.compile(r"[0-9A-Za-z_-]+(?:[.+/~][0-9A-Za-z_-]+)*={0,2}"))
 JOINED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.+/~")
@@ -181,7 +186,12 @@ def features(text: str, a: int, b: int) -> list[str]:
     kind = shape(span)
     octets = len(parts) == 4 and all(p.isdigit() and p.isascii() and int(p) <= 255 for p in parts)
     size = min(b - a, 47) if RUNS[1].fullmatch(span) else b - a            # long keys count as the longest usual ones
-    return ["bias", f"shape={kind[:24]}", f"digits={min(len(d), 20)}", f"luhn={12 <= len(d) <= 19 and luhn(d)}",
+    cue = CUE.search(text, max(0, a - 32), a)
+    cued = cue is not None and cue[1].lower() in CUES and not set(text[cue.end(1):a]).isdisjoint("=:")
+    whole = RUNS[0].fullmatch(span) is not None and len(d) < b - a         # one run with a letter
+    return ["bias", f"cued={cued}", f"run={whole}", f"run cued={whole and cued}", f"run of 12={whole and b - a >= 12}",
+            f"run of 12 cued={whole and cued and b - a >= 12}", f"capitals={CAPITALS.fullmatch(span) is not None}",
+            f"shape={kind[:24]}", f"digits={min(len(d), 20)}", f"luhn={12 <= len(d) <= 19 and luhn(d)}",
             f"octets={octets}", f"at={min(span.count('@'), 2)}", f"dots={min(span.count('.'), 4)}", f"gap={' ' in span}",
             f"length={size // 6}", f"first={shape(span[0])}", f"last={shape(span[-1])}", f"plus={span[0] == '+'}",
             f"mixed={len(d) > 3 and 'a' in kind and not set(kind) - {'a', '9'}}", f"before={before[0][-10:].lower()}",
@@ -263,6 +273,22 @@ def silver(text: str) -> set[tuple[int, int, int]]:
     return found
 
 
+def varied(text: str, spans: list[tuple[int, int]], rng: np.random.Generator):
+    """(line, its secret's span) of other secrets in the place of each one: shortened, after another cue, in capitals."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    for a, b in spans:
+        size = int(rng.integers(12, 31))
+        short = text[a:b][:size]
+        if len(short) >= 12 and TRIGGER.search(short):
+            yield text[:a] + short + text[b:], (a, a + len(short))
+            lead = f"{CUES[rng.integers(len(CUES))]}{'=' if rng.random() < 0.5 else ' = '}"
+            line = text[:a].rsplit(" ", 3)[0] + " " + lead
+            yield line + short + " " + text[b:].lstrip("\"'"), (len(line), len(line) + len(short))
+        key = "".join(letters[i] for i in rng.integers(0, 26, 4)) + "".join(letters[i] for i in rng.integers(0, 32, 15)) + str(rng.integers(10))
+        yield text[:a] + key + text[b:], (a, a + 20)
+        yield f"{text[:a].rsplit(' ', 3)[0]} {key} {text[b:]}", (len(text[:a].rsplit(" ", 3)[0]) + 1, len(text[:a].rsplit(" ", 3)[0]) + 21)
+
+
 def strata(limit: int) -> list[int]:
     """How many lines each stratum gives: one for every silver kind, and a last one that every line belongs to."""
     return [max(1, limit // (2 * len(KINDS)))] * len(KINDS) + [max(1, limit // 2)]
@@ -322,7 +348,7 @@ def fit(docs: DataFrame, limit: int = DOCS) -> Field:
     """Weights from lines with triggers, at most ``limit`` of them and of BOUND characters."""
     drawn = sample(docs, limit)
     kinds = [(line, k) for turn in itertools.zip_longest(*drawn[:-1]) for k, line in enumerate(turn) if line is not None]
-    field, examples, used = Field(), [], set()
+    field, examples, used, rng = Field(), [], set(), np.random.default_rng(5)
     for pair in itertools.zip_longest(kinds, ((line, None) for line in drawn[-1])):     # in turn one of a kind, one of all
         for text, kind in filter(None, pair):
             if text in used:
@@ -334,9 +360,12 @@ def fit(docs: DataFrame, limit: int = DOCS) -> Field:
                 spans = [(a, b) for a, k, b in truth if k == kind]
                 found.sort(key=lambda w: not any(w[0][0] <= a and b <= w[-1][1] for a, b in spans))
             examples += [(text, w, truth) for w in found[:PER_LINE]]
+            if kind == KINDS.index("secret"):
+                for other, (a, b) in itertools.islice(varied(text, spans, rng), 4):
+                    labels = {x for x in silver(other) if x[2] <= a or b <= x[0]} | {(a, KINDS.index("secret"), b)}
+                    examples += [(other, w, labels) for w in windows(other) if w[0][0] <= a and b <= w[-1][1]][:1]
         if len(examples) >= WINDOWS:
             break
-    rng = np.random.default_rng(5)
     for r in range(ROUNDS):
         for at in rng.permutation(len(examples)):
             field.learn(*examples[at], rate=0.3 / (1 + r))
