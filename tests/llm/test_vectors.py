@@ -66,6 +66,55 @@ def test_odd_vectors(spark):
     assert multiindex.vector_classes(empty).count() == 0
 
 
+def test_doubles_are_judged_as_doubles(spark):
+    x = float(np.sqrt(1 - 0.93 ** 2))
+    rows = [(1, [1.0, 0.0], 1), (2, [0.93 + 1e-9, x], 1), (3, [0.93 - 1e-9, -x], 1)]
+    got = multiindex.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == {1: 1, 2: 1, 3: 0}
+
+
+def test_a_crowd_lists_no_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(32)
+    rows = [(i, [float(x) for x in base + 0.01 * rng.standard_normal(32)], 1) for i in range(1500)]
+    nodes = spark.createDataFrame([(i, 1, 1, v) for i, v, _ in rows], "node long, label long, copies long, embedding array<float>")
+    assert multiindex.vector_links(nodes).count() < 40 * 1500
+    got = multiindex.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(1499, 0)}
+
+
+def test_forests_span_and_visits_follow_the_order():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        near = rng.random((12, 9)) < 0.12
+        rows, columns = np.arange(12), np.concatenate([np.arange(100, 106), np.arange(3)])
+        near &= rows[:, None] != columns[None]
+        links = multiindex.forest(near, rows, columns)
+        every = [(int(rows[i]), int(columns[j])) for i, j in zip(*np.nonzero(near))]
+
+        def groups(pairs):
+            label = {x: x for x in [*rows.tolist(), *columns.tolist()]}
+            for a, b in pairs:
+                x, y = label[a], label[b]
+                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+            return label
+
+        assert groups(links) == groups(every) and len(links) == len(label_set(groups([]))) - len(label_set(groups(every)))
+    x = multiindex.normal(rng.standard_normal((300, 8)))
+    books = (multiindex.codebook(x[:, :4], 6), multiindex.codebook(x[:, 4:], 6))
+    visits = multiindex.needed_visits(x, books, 0.93, 0.95)
+    away = np.random.default_rng(11).standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    moved = 0.93 * x + np.sqrt(1 - 0.93 ** 2) * multiindex.normal(away)
+    target = multiindex.cells_in_order(moved, books, 1)
+    share = lambda n: (multiindex.cells_in_order(x, books, n) == target).any(axis=1).mean()
+    assert share(visits) >= 0.95 and (visits == 1 or share(visits - 1) <= 0.96)
+
+
+def label_set(groups):
+    return set(groups.values())
+
+
 def test_the_walk_is_in_order_of_distance():
     rng = np.random.default_rng(3)
     x, books = rng.standard_normal((20, 8)), (rng.standard_normal((9, 4)), rng.standard_normal((9, 4)))
