@@ -37,8 +37,9 @@ from foldspark.llm.graph import components
 
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 4, 24
 CHUNK_WORDS = 400_000
-#: A bucket with more pairs left than PAIRS is compared in blocks of LEFT by RIGHT bags.
-PAIRS, LEFT, RIGHT = 400, 256, 1024
+#: A bucket with more pairs left than PAIRS is compared in blocks of LEFT by RIGHT bags, fewer
+#: where a side's bags pass BLOCK_BYTES together (16 bytes a shingle).
+PAIRS, LEFT, RIGHT, BLOCK_BYTES = 400, 256, 1024, 64 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -183,8 +184,10 @@ def _block_links(crowd: DataFrame, held: DataFrame, similarity: float) -> DataFr
     """Links of the minor members of large buckets with all members, compared in blocks; only links come out."""
     members = crowd.select("main", "node").distinct()
     minor = crowd.where("label <> main").select("main", "node").distinct()
-    sizes = cut(members.groupBy("main").agg(F.count("*").alias("r")).join(minor.groupBy("main").agg(F.count("*").alias("l")), "main").select(
-        "main", F.ceil(F.col("l") / LEFT).alias("lb"), F.ceil(F.col("r") / RIGHT).alias("rb")))
+    size = cut(held.select("node", F.octet_length("bag").cast("long").alias("bytes")))
+    total = lambda t, bags: t.join(size, "node").groupBy("main").agg(
+        F.ceil(F.greatest(F.count("*") / bags, F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    sizes = cut(total(members, RIGHT).withColumnRenamed("blocks", "rb").join(total(minor, LEFT).withColumnRenamed("blocks", "lb"), "main"))
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = minor.join(sizes, "main").select("main", "node", F.lit(True).alias("left"), spot("lb").alias("i"), every("rb").alias("j"))
@@ -231,7 +234,8 @@ def classes(rows: DataFrame, row: str, similarity: float = SIMILARITY) -> DataFr
     crowded = cut(bands.join(crowds, ["band", "h"]))
     degree = crowded.groupBy("node").agg(F.sum("c").alias("degree"))
     ranked = crowded.join(degree, "node").withColumn("who", F.struct("degree", (-F.col("node")).alias("low")))
-    centre = ranked.groupBy("band", "h").agg((-F.max("who")["low"]).alias("centre"))
+    # a table, so that the join can split the rows of a hot bucket
+    centre = cut(ranked.groupBy("band", "h").agg((-F.max("who")["low"]).alias("centre")))
     members = cut(crowded.join(centre, ["band", "h"]).select("band", "h", "node", "centre"))
     spokes = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     involved = members.select(F.col("node").alias("at")).distinct()
@@ -283,5 +287,5 @@ def _with_classes(rows: DataFrame, row: str, similarity: float) -> DataFrame:
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without those that another row of their class stands for."""
     rows, row = numbered(docs)
-    gone = _with_classes(rows, row, similarity).where(~F.col("kept")).select(F.col("row").alias("bm_gone"))
-    return rows.join(gone, rows[row] == F.col("bm_gone"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = _with_classes(rows, row, similarity).where(~F.col("kept")).select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
