@@ -23,6 +23,7 @@ from . import sparse
 CS = np.logspace(-4, 4, num=10)
 MAX_NEWTON = 600          # weights per model (classes x width)
 NO_FOLD = -1
+MORE_STEPS = 40           # of the other solver, for fits that Newton steps did not end; it warns of those still open
 
 
 @dataclass(frozen=True)
@@ -134,7 +135,7 @@ def newton_fits(df: DataFrame, features: Sequence[str], tasks: Sequence[Task], n
         n = {t: df.filter(F.col(fold) != t.without).count() if fold else df.count() for t in live}
         fits = {t: sparse.Fit(t.without, 0.0, 0.0 if np.isinf(t.c) else 1.0 / (t.c * n[t])) for t in live}
         with sparse.Rows(df, features, y, fold=fold) as packed:
-            solved = sparse.solve(packed, list(fits.values()), "log", outs, start={fits[t]: weights[t] for t in live})
+            solved = sparse.solve(packed, list(fits.values()), "log", outs, max_steps=MORE_STEPS, start={fits[t]: weights[t] for t in live})
         weights |= {t: solved[fits[t]].weights for t in live}
     return weights
 

@@ -119,7 +119,8 @@ class LinearRecipe(Recipe):
             fold = "te_fold"
             label = None if data.spec.task == "regression" else "y"
             inside = rows.filter(is_train).select("row_id", *([label] if label else []))
-            rows = prep.target_folds(inside, label, to=rows).withColumn("te_fold", F.when(is_train, F.col("te_fold")))
+            # several passes fit the encodings
+            rows = cut(prep.target_folds(inside, label, to=rows).withColumn("te_fold", F.when(is_train, F.col("te_fold"))))
         n = data.spec.n_classes if data.spec.task == "multiclass" else None
         space = prep.fit_features(rows.filter(is_train), kinds, "y", n)
         keep = [c for c in ("row_id", "y", "part", "cv_fold", "fit_fold") if c in rows.columns]
