@@ -257,6 +257,23 @@ def test_long_texts_go_in_pieces(spark, monkeypatch):
     assert sum(int((b - a + 1).sum()) for a, b in zip(first, last)) == len(texts[0]) - 399
 
 
+def test_passages_of_many_words_go_by_their_bytes(spark):
+    """Passages of over 50 words in three documents each: from 400 bytes on all are removed, below none; n_bytes is the input's."""
+    rng = random.Random(12)
+    long = lambda n, letters, size: " ".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(n))
+    passages = [long(60, "abcdef", 4), long(80, "abcdef", 5)[:399], long(80, "abcdef", 5)[:400], long(60, "abcdef", 6), long(55, "éèà", 4)]
+    assert [len(p.encode()) >= 400 for p in passages] == [False, False, True, True, True] and min(len(p.split()) for p in passages) > 50
+    rows, want = [], {}
+    for passage in [*passages, ""]:
+        for i in range(3):                            # bytes beside a passage differ, so that its length is all that repeats
+            before, after = long(rng.randint(0, 150), "uvwxyz", 5), long(rng.randint(0, 150), "uvwxyz", 5)
+            rows.append((len(rows), f"{before}{i}{passage}{i}{after}"))
+            gone = len(passage.encode()) if len(passage.encode()) >= 400 else 0
+            want[len(rows) - 1] = (len(rows[-1][1].encode()), gone, int(gone > 0), (f"{before}{i}{i}{after}" if gone else rows[-1][1]).encode())
+    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+
+
 def test_mixing_meets_its_quotas(spark, nothing):
     rows = [(i, "word " * (20 + i % 7), ["big"] * 8 + ["mid", "low"]) for i in range(2000)]
     rows = [(i, t, s[i % 10] if i % 500 else None) for i, t, s in rows]
