@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS, argmax, clip, sigmoid, symlog
-from . import ranks
+from ..session import cut
+from . import ranks, weighted
 from .resample import FULL, resample
 
 # Is a higher value of the metric better?
@@ -203,14 +204,35 @@ def score_groups(df: DataFrame, by: Sequence[str], names: Sequence[str], n_class
     return reduce(DataFrame.unionByName, parts)
 
 
+def _weighted(rows: DataFrame, by: Sequence[str], names: Sequence[str], n_classes: int | None,
+              seeds: Sequence[int | None]) -> DataFrame | None:
+    """Scores of a Poisson bootstrap (by..., bootstrap_seed, metric, score) from weights; None for too many groups."""
+    log_p = hit = score = None
+    kind = rows.schema["pred"].dataType.typeName()
+    if {"log_loss", "neg_log_loss"} & set(names):
+        log_p = F.log(clip(_true_probability("y", "pred", kind), EPS, 1 - EPS))
+    if "balanced_accuracy" in names:
+        hit = (argmax("pred") if kind == "array" else (F.col("pred") > 0).cast("int")) == F.col("y")
+    if "roc_auc" in names:
+        score = clip("pred", -LOGIT_LIMIT, LOGIT_LIMIT)
+    return weighted.scores(rows, by, names, seeds, n_classes, log_p, hit, score)
+
+
 def score_all(df: DataFrame, names: Sequence[str], subsets: Sequence[str] | None = None,
               seeds: Sequence[int | None] | None = None, n_classes: int | None = None,
               y: str = "y", pred: str = "pred", extra: Sequence[str] = (), method: str = "exact") -> DataFrame:
     """Score table (extra..., subset, metric, bootstrap_seed, score) over subsets x metrics x seeds."""
     rows = df if subsets is None else df.filter(F.col("subset").isin(*subsets))
     rows = rows.select("row_id", *extra, "subset", y, pred)
-    drawn = resample(rows, [*extra, "subset"], list(seeds) if seeds else [None], method)
-    scores = score_groups(drawn, [*extra, "subset", "bootstrap_seed"], names, n_classes, y, pred)
+    seeds, scores = list(seeds) if seeds else [None], None
+    if method == "poisson" and len(seeds) > 1 and set(names) <= weighted.METRICS:
+        # several passes sum the rows
+        rows = cut(rows.withColumnsRenamed({y: "y", pred: "pred"}))
+        y, pred = "y", "pred"
+        scores = _weighted(rows, [*extra, "subset"], names, n_classes, seeds)
+    if scores is None:
+        drawn = resample(rows, [*extra, "subset"], seeds, method)
+        scores = score_groups(drawn, [*extra, "subset", "bootstrap_seed"], names, n_classes, y, pred)
     seed = F.when(F.col("bootstrap_seed") != FULL, F.col("bootstrap_seed"))
     return scores.select(*extra, "subset", "metric", seed.alias("bootstrap_seed"), "score")
 
