@@ -25,10 +25,19 @@ def set_fold(df: DataFrame, fold: int, reversed_: bool = False, fold_col: str =
     return df.withColumn("subset", F.when(F.col(fold_col) == fold, here).otherwise(rest))
 
 
-def _after(boundaries: Column, key: str = "key") -> Column:
-    """How many boundary rows stand before this row."""
-    me = F.struct(F.col(key).alias("key"), F.col("row_id"))
-    return F.size(F.filter(boundaries, lambda b: b < me))
+def _above(me: Column, other: Column) -> Column:
+    """me > other, where NULL is below every value."""
+    return F.coalesce(me > other, me.isNotNull() & other.isNull())
+
+
+def _after(boundaries: Column, most: int, key: str = "key") -> Column:
+    """How many of the boundary rows (``most`` or fewer) stand before this row; plain comparisons, so generated code counts them."""
+    total = F.lit(0)
+    for i in range(most):
+        b = F.get(boundaries, F.lit(i))
+        later = _above(F.col(key), b["key"]) | (F.col(key).eqNullSafe(b["key"]) & _above(F.col("row_id"), b["row_id"]))
+        total = total + F.when(b.isNotNull() & later, 1).otherwise(0)
+    return total
 
 
 def _keyed(df: DataFrame, seed: int | None) -> tuple[DataFrame, object]:
@@ -51,17 +60,17 @@ def _with_boundaries(df: DataFrame, parts: list[str], bounds: DataFrame, how: st
     row = bounds.first()
     pairs = [F.struct(F.lit(b["key"]).cast("long").alias("key"), F.lit(b["row_id"]).cast("long").alias("row_id"))
              for b in (row["_at"] if row else [])]
-    return df.withColumn("_at", F.array(*pairs))
+    return df.withColumn("_at", F.array(*pairs).cast("array<struct<key:bigint,row_id:bigint>>"))
 
 
-def _evaluate(to: DataFrame, seed: int | None, parts: list[str], bounds: DataFrame, name: str) -> DataFrame:
+def _evaluate(to: DataFrame, seed: int | None, parts: list[str], bounds: DataFrame, name: str, most: int) -> DataFrame:
     """Every row of ``to`` with its fold by boundaries that were fitted on other rows; NULL for a class these lacked.
 
     The comparison is part of the scan: no row meets another by its id.
     """
     keyed = with_u32(to, {"_split_key": seed}) if seed is not None else to.withColumn("_split_key", F.col("row_id"))
     marked = _with_boundaries(keyed, parts, bounds, "left")
-    fold = F.when(F.col("_at").isNotNull(), _after(F.col("_at"), "_split_key").cast("int"))
+    fold = F.when(F.col("_at").isNotNull(), _after(F.col("_at"), most, "_split_key").cast("int"))
     return marked.withColumn(name, fold).drop("_at", "_split_key")
 
 
@@ -81,7 +90,7 @@ def holdout(df: DataFrame, ratio: float, seed: int = 0, label: str | None = None
     parts = [label] if label else []
     keyed, bucket = _keyed(df, seed)
     cut = _with_boundaries(keyed, parts, _boundaries(keyed, parts, _val_rank(ratio), bucket))
-    out = cut.withColumn("subset", F.when(_after(F.col("_at")) == 0, "val").otherwise("train")).drop("_at")
+    out = cut.withColumn("subset", F.when(_after(F.col("_at"), 1) == 0, "val").otherwise("train")).drop("_at")
     if ensure_all_classes:
         lonely = (
             out.groupBy(classes)
@@ -112,9 +121,9 @@ def kfold(df: DataFrame, k: int, seed: int | None = 0, fold_name: str = "cv_fold
     keyed, bucket = _keyed(df, seed)
     bounds = _boundaries(keyed, [], _even_ranks(k), bucket)
     if to is not None:
-        return _evaluate(to, seed, [], bounds, fold_name)
+        return _evaluate(to, seed, [], bounds, fold_name, k - 1)
     cut = _with_boundaries(keyed, [], bounds)
-    return cut.withColumn(fold_name, _after(F.col("_at")).cast("int")).drop("_at", "key")
+    return cut.withColumn(fold_name, _after(F.col("_at"), k - 1).cast("int")).drop("_at", "key")
 
 
 def class_blocks(df: DataFrame, label: str) -> DataFrame:
@@ -143,9 +152,9 @@ def stratified_kfold(df: DataFrame, k: int, label: str, seed: int | None = 0,
     slots = [F.struct(F.lit(i).alias("slot"), (up_to(end, i) - up_to(start, i)).alias("rank")) for i in range(k - 1)]
     bounds = _boundaries(keyed, [label], F.array(*slots), bucket, blocks)
     if to is not None:
-        return _evaluate(to, seed, [label], bounds, fold_name)
+        return _evaluate(to, seed, [label], bounds, fold_name, k - 1)
     cut = _with_boundaries(keyed, [label], bounds)
-    return cut.withColumn(fold_name, _after(F.col("_at")).cast("int")).drop("_at", "key")
+    return cut.withColumn(fold_name, _after(F.col("_at"), k - 1).cast("int")).drop("_at", "key")
 
 
 def spread_lonely_classes(df: DataFrame, label: str, fold_name: str = "cv_fold") -> DataFrame:
@@ -244,7 +253,7 @@ class Splitter:
             return to.withColumn(name, F.lit(self.from_subset))
         if self.method == "holdout":
             keyed, bucket = _keyed(source, self.random_seed)
-            out = _evaluate(to, self.random_seed, [], _boundaries(keyed, [], _val_rank(self.val_ratio), bucket), "_fold_of")
+            out = _evaluate(to, self.random_seed, [], _boundaries(keyed, [], _val_rank(self.val_ratio), bucket), "_fold_of", 1)
             first = F.col("_fold_of") == 0
         else:
             if label and self.stratified:

@@ -48,3 +48,10 @@ def test_folds_of_other_rows(spark):
         assert len(got) == 100 and all(got[i] == f for i, f in want.items()) and set(got.values()) == {0, 1, 2, 3}
     none = kfold(df.limit(0), 4, 0, to=df)
     assert none.agg(F.max("cv_fold")).first()[0] == 0
+
+
+def test_comparisons_are_generated_code(spark):
+    """Folds are counted without a function over arrays, which Spark interprets row by row."""
+    rows = spark.range(50).select(F.col("id").alias("row_id"))
+    plan = kfold(rows, 5, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
