@@ -10,14 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.pvalue import pearson_pvalue
 from ..functions.scalar import nan_to_null, sigmoid
 from ..session import cut
-from . import ranks
+from . import prep, ranks
 from .resample import FULL, resample
 
 
@@ -56,6 +58,8 @@ def pearson(long: DataFrame, seeds: Sequence[int | None] = (None,), classes: Seq
 # --------------------------------------------------------------------------
 # line through one feature, out of fold
 
+LINE_SUMS = ("n", "sx", "sy", "sxx", "sxy", "nm", "sm")
+
 
 def line_params(long: DataFrame, fold: str = "cv_fold") -> DataFrame:
     """(feature, fold, x0, slope, level, missing_level): least squares on the other folds.
@@ -73,6 +77,11 @@ def line_params(long: DataFrame, fold: str = "cv_fold") -> DataFrame:
     per = d.groupBy("feature", fold, "cx", "cy").agg(*[F.coalesce(s, F.lit(0)).alias(k) for k, s in sums.items()])
     all_folds = W.partitionBy("feature")
     rest = per.select("feature", fold, "cx", "cy", *[(F.sum(k).over(all_folds) - F.col(k)).alias(k) for k in sums])
+    return _line_of(rest, fold)
+
+
+def _line_of(rest: DataFrame, fold: str) -> DataFrame:
+    """The lines from the sums (n, sx, sy, sxx, sxy, nm, sm) of the training rows, as distances from (cx, cy)."""
     n = F.nullif("n", F.lit(0))                            # no value outside the fold: the missing rows' mean, a flat line
     mx, my = F.col("sx") / n, F.col("sy") / n
     missing = F.col("cy") + F.col("sm") / F.nullif("nm", F.lit(0))
@@ -91,6 +100,65 @@ def line_predictions(long: DataFrame, fold: str = "cv_fold") -> DataFrame:
     return long.join(params, ["feature", fold]).select("row_id", "feature", fold, "y", value.alias("pred"))
 
 
+def cross_line_predictions(long: DataFrame, kind: str, n_folds: int = 5, fold: str = "cv_fold") -> DataFrame:
+    """Out-of-fold predictions (row_id, feature, y, pred) of lines on a quantile transform refitted for every fold.
+
+    A row is transformed once for every fold inside a batch, which leaves the sums of the
+    folds it trains, and once more by its own fold's knots for its prediction.
+    """
+    knots = long.sparkSession.sparkContext.broadcast(prep.cross_knots(long, n_folds, fold))
+    centre = 0.5 if kind == "quantile_uniform" else 0.0
+    means = {r["feature"]: r["m"] for r in long.groupBy("feature").agg(F.avg("y").alias("m")).collect()}
+
+    def moved(x, feature, f):
+        q = knots.value.get((feature, f))
+        return np.full(len(x), np.nan) if q is None else prep.between_knots(x, q, kind)
+
+    def add(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            names, x, y, own = batch.column(0).to_pandas(), *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            for feature, at in names.groupby(names).indices.items():
+                xs, ys, fs = x[at], y[at] - (means[feature] or 0.0), own[at]
+                known_y = ~np.isnan(ys)
+                for f in range(n_folds):
+                    z, out = moved(xs, feature, f), fs != f
+                    has = out & ~np.isnan(z)
+                    both, lost = has & known_y, out & np.isnan(z)
+                    d, e = z[has] - centre, z[both] - centre
+                    s = np.array([has.sum(), d.sum(), ys[both].sum(), (d * d).sum(), (e * ys[both]).sum(), lost.sum(), ys[lost & known_y].sum()])
+                    held[feature, f] = held.get((feature, f), 0.0) + s
+        if held:
+            yield pa.record_batch([pa.array([k[0] for k in held]), pa.array([k[1] for k in held], pa.int32()),
+                                   *np.stack(list(held.values())).T], ["feature", fold, *LINE_SUMS])
+
+    rows = long.filter(F.col(fold).isNotNull()).select("feature", "x", F.col("y").cast("double").alias("y"), F.col(fold).cast("int").alias(fold), "row_id")
+    sums = rows.mapInArrow(add, f"feature string, {fold} int, " + ", ".join(f"{k} double" for k in LINE_SUMS)).groupBy("feature", fold).agg(
+        *[F.sum(k).alias(k) for k in LINE_SUMS]).collect()
+    whole = long.sparkSession.createDataFrame([(r["feature"], r[fold], centre, means[r["feature"]], *[r[k] for k in LINE_SUMS]) for r in sums],
+                                              f"feature string, {fold} int, cx double, cy double, " + ", ".join(f"{k} double" for k in LINE_SUMS))
+    lines = {(r["feature"], r[fold]): r for r in _line_of(whole, fold).collect()}
+
+    def value(r, z):
+        none = lambda v: np.nan if v is None else v
+        line = none(r["level"]) + none(r["slope"]) * (z - none(r["x0"]))
+        return np.where(np.isnan(z), none(r["missing_level"]), line)
+
+    def predict(batches):
+        for batch in batches:
+            names, x, own = batch.column(0).to_pandas(), *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 3))
+            pred = np.full(len(x), np.nan)
+            for feature, at in names.groupby(names).indices.items():
+                for f in np.unique(own[at]):
+                    mine = at[own[at] == f]
+                    if (feature, int(f)) in lines:
+                        pred[mine] = value(lines[feature, int(f)], moved(x[mine], feature, int(f)))
+            yield pa.record_batch([batch.column(4), batch.column(0), batch.column(2), pa.array(pred, pa.float64(), mask=np.isnan(pred))],
+                                  ["row_id", "feature", "y", "pred"])
+
+    return rows.mapInArrow(predict, T.StructType([long.schema["row_id"], *[rows.schema[c] for c in ("feature", "y")], T.StructField("pred", T.DoubleType())]))
+
+
 def logistic_params(long: DataFrame, n_folds: int = 5, steps: int = 8, fold: str = "cv_fold") -> DataFrame:
     """(feature, fold, mu, sd, a, b, missing_logit): unpenalised one-feature logistic fits.
 

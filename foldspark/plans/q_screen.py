@@ -8,6 +8,7 @@ from ..operators import metrics as M
 from ..operators import prep as P
 from ..operators import screen as G
 from ..operators import splits as K
+from ..session import cut
 from . import q_metrics as QM
 from . import sqltext as S
 from . import views as V
@@ -90,16 +91,9 @@ def single_feature_linear(t):
 
 def transformed_line_predictions(df, cols, kind):
     """Out-of-fold line predictions on a quantile transform refitted for every fold."""
-    long = G.long_features(df, cols, ("row_id", "y", "cv_fold"))
-    spread = P.cross_quantiles(long, kind, 5)
-    # every evaluated fold is its own two-group problem: training rows against the held-out ones
-    held = (F.col("cv_fold") == F.col("eval_fold")).cast("int")
-    named = spread.withColumns({"feature": F.concat_ws("|", "feature", F.col("eval_fold").cast("string")), "held": held})
-    params = G.ranks.fit_small(G.line_params(named, "held").filter("held = 1"))
-    value = F.when(F.col("x").isNull(), F.col("missing_level")).otherwise(
-        F.col("level") + F.col("slope") * (F.col("x") - F.col("x0")))
-    rows = named.filter("held = 1").join(params, ["feature", "held"])
-    return rows.select("row_id", F.substring_index("feature", "|", 1).alias("feature"), "y", value.alias("pred"))
+    # several passes read the rows
+    long = G.long_features(cut(df.select("row_id", "y", "cv_fold", *cols)), cols, ("row_id", "y", "cv_fold"))
+    return G.cross_line_predictions(long, kind)
 
 
 from .q_prep import knots_sql  # noqa: E402
