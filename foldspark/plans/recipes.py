@@ -112,7 +112,8 @@ class LinearRecipe(Recipe):
             out.update({c: self.cat_transform for c in data.cat_features})
         return out
 
-    def _space(self, data: Dataset, rows: DataFrame, is_train, kinds: Mapping[str, str]) -> tuple[DataFrame, prep.FeatureSpace]:
+    def _space(self, data: Dataset, rows: DataFrame, is_train, kinds: Mapping[str, str],
+               knots: Mapping[str, Sequence[float]] | None = None) -> tuple[DataFrame, prep.FeatureSpace]:
         """Apply transforms fitted on the training rows to all rows."""
         fold = None
         if "target_encoding" in kinds.values():
@@ -122,7 +123,7 @@ class LinearRecipe(Recipe):
             # several passes fit the encodings
             rows = cut(prep.target_folds(inside, label, to=rows).withColumn("te_fold", F.when(is_train, F.col("te_fold"))))
         n = data.spec.n_classes if data.spec.task == "multiclass" else None
-        space = prep.fit_features(rows.filter(is_train), kinds, "y", n)
+        space = prep.fit_features(rows.filter(is_train), kinds, "y", n, knots=knots)
         keep = [c for c in ("row_id", "y", "part", "cv_fold", "fit_fold") if c in rows.columns]
         return space.apply(rows, keep, fold), space
 
@@ -146,9 +147,10 @@ class LinearRecipe(Recipe):
 
         out_of_fold = None
         cv_rows = cut(with_cv(data))
+        knots = prep.cross_feature_knots(cv_rows, [c for c, k in kinds.items() if k.startswith("quantile")], CV)
         for f in range(CV):
             outside = F.col("cv_fold") != f
-            part, own = self._space(data, cv_rows, outside, kinds)
+            part, own = self._space(data, cv_rows, outside, kinds, knots.get(f))
             one = LinearCV(task, self.reg_type, reg_coefs=[model.coef], y_transform=self.y_transform, n_classes=n,
                            n_folds=CV, fold="cv_fold", l1_ratio=model.best_l1_ratio or 0.5)
             one.fit_fixed(part.filter(outside), own.features, model.coef, model.best_l1_ratio, own.hot, own.hot_width)

@@ -56,3 +56,18 @@ def test_lines_on_refitted_transforms(long, kind):
     got = {(r["row_id"], r["feature"]): r["pred"] for r in screen.cross_line_predictions(long, kind).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
+
+
+def test_knots_of_all_folds_from_the_same_passes(spark, monkeypatch):
+    pdf = _long()
+    wide = spark.createDataFrame(pdf[pdf["feature"] == "a"]).withColumn("x", F.when(F.col("row_id") % 9 != 0, F.col("x"))).localCheckpoint()
+    knots = prep.cross_feature_knots(wide, ["x"], 5)
+    assert prep.cross_feature_knots(wide.limit(100), ["x"], 5) == {}
+    for f in range(5):
+        train = wide.filter(F.col("cv_fold") != f)
+        want = prep.fit_numeric(train, {"x": "quantile_uniform"})["x"]
+        with monkeypatch.context() as m:
+            m.setattr(prep, "feature_quantiles", lambda *_: pytest.fail("fitted for each fold"))
+            got = prep.fit_numeric(train, {"x": "quantile_uniform"}, knots[f])["x"]
+        assert got.knots == pytest.approx(want.knots, rel=1e-12)
+        assert got.fill == pytest.approx(want.fill, rel=1e-9)
